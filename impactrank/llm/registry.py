@@ -23,5 +23,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_totals(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_token_counts,)}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"), capacity=4096, end_id=1, keep_ids=False)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_best_fit_packing, op9_token_counts)}
 ORACLES: dict[str, str] = {}
