@@ -1,4 +1,407 @@
-"""Named queries of the retrieval engine and their SQL."""
+"""Named queries of the retrieval engine over the driver tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each query runs over its whole tables.  Derived vectors are cached per session and
+folder, since many queries share them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from .functions import distance, quantize
+from .operators import analyze, cluster, index, metrics, prune, search, topk
+from .operators.prune import QueryPrune, VectorPrune
+from .operators.search import SearchConfig
+from .plans import experiments
+from .plans.blockmax import blockmax_search
+from .sources import text
+
+K, POOL, SMALL_WINDOW = 10, 50, 100
+ALPHA, RATIO, TOP = 0.5, 0.7, 8
+_held: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def held(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = getattr(fx, name)(spark, sf_dir).persist()
+    return _held[key]
+
+
+def held_index(spark: SparkSession, sf_dir: str, docs: VectorPrune = VectorPrune(), lists: VectorPrune = VectorPrune()) -> index.Index:
+    """An index whose postings are built once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"{docs}{lists}")
+    built = index.build(held(spark, sf_dir, "docs_a"), docs, lists)
+    if key not in _held:
+        _held[key] = built.postings.persist()
+    return index.Index(_held[key], built.forward)
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+_QUANT = "CAST(floor(CAST(least(greatest(CAST({v} AS FLOAT), CAST(0 AS FLOAT)), CAST(3 AS FLOAT)) / CAST(3 AS FLOAT) * CAST(127 AS FLOAT) AS DOUBLE) + 0.5) AS INTEGER)"
+_W = _QUANT.format(v="3.0 * tf / (tf + 1.5)")
+
+
+def _tf(source: str, id_in: str, id_out: str) -> str:
+    return f"SELECT {id_out}, term, {_W} AS weight FROM (SELECT {id_out}, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT {id_in} AS {id_out}, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM {source}) GROUP BY {id_out}, term)"
+
+
+D = f"d AS ({_tf('documents', 'doc_id', 'doc_id')})"
+Q = f"q AS ({_tf('benchmark', 'item_id', 'query_id')})"
+B = f"b AS (SELECT doc_id, term, {_QUANT.format(v='least(CAST(3 AS FLOAT), v * CAST(8 AS FLOAT))')} AS weight FROM (SELECT vec_id AS doc_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS term, unnest(embedding) AS v FROM embeddings) WHERE v > 0)"
+F32 = lambda x: f"CAST({x} AS FLOAT)"
+
+
+def _mass_excl(src: str, by: str, tie: str, alpha: float) -> str:
+    return f"SELECT {by}, {tie}, weight FROM (SELECT *, sum(abs(weight)) OVER (PARTITION BY {by} ORDER BY abs(weight) DESC, {tie} ROWS UNBOUNDED PRECEDING) AS c, sum(abs(weight)) OVER (PARTITION BY {by}) AS s FROM {src}) WHERE {F32('c')} <= {F32(alpha)} * {F32('s')}"
+
+
+def _mass_incl(src: str, by: str, tie: str, alpha: float) -> str:
+    o = f"OVER (PARTITION BY {by} ORDER BY weight DESC, {tie} ROWS UNBOUNDED PRECEDING)"
+    return f"SELECT {by}, {tie}, weight FROM (SELECT *, sum(weight) {o} AS c, sum(weight) OVER (PARTITION BY {by}) AS s, row_number() OVER (PARTITION BY {by} ORDER BY weight DESC, {tie}) AS rn FROM {src}) WHERE rn = 1 OR {F32('c - weight')} < {F32(alpha)} * {F32('s')}"
+
+
+def _mass_int8(src: str, by: str, tie: str, alpha: float) -> str:
+    wrap = lambda x: f"((({x}) + 128) % 256 + 256) % 256 - 128"
+    run = f"sum(weight) OVER (PARTITION BY {by} ORDER BY weight DESC, {tie} ROWS UNBOUNDED PRECEDING)"
+    return f"SELECT {by}, {tie}, weight FROM (SELECT *, max(c) OVER (PARTITION BY {by} ORDER BY weight DESC, {tie} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT *, CAST({wrap(run)} AS INTEGER) AS c, CAST({wrap(f'sum(weight) OVER (PARTITION BY {by})')} AS INTEGER) AS s FROM {src})) WHERE p IS NULL OR p < trunc({F32(alpha)} * {F32('s')})"
+
+
+def _ratio(src: str, by: str, tie: str, rule: str, top: str = "abs(weight)") -> str:
+    return f"SELECT {by}, {tie}, weight FROM (SELECT *, max({top}) OVER (PARTITION BY {by}) AS m FROM {src}) WHERE {rule}"
+
+
+_DOC_RULE = f"abs(weight) > trunc({F32('m')} * {F32(RATIO)})"
+_LIST_RULE = f"abs(weight) > CAST(m AS DOUBLE) * CAST({F32(RATIO)} AS DOUBLE)"
+_QUERY_RULE = f"weight >= trunc({F32(RATIO)} * {F32('m')})"
+_PLAIN_RULE = f"CAST(weight AS DOUBLE) >= m * CAST({RATIO} AS DOUBLE)"
+
+
+def _top(src: str, by: str, tie: str, n: int, signed: bool = False) -> str:
+    w = "weight" if signed else "abs(weight)"
+    return f"SELECT {by}, {tie}, weight FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {w} DESC, {tie}) AS rn FROM {src}) WHERE rn <= {n}"
+
+
+def _without_longest(src: str, fraction: float) -> str:
+    return f"SELECT doc_id, term, weight FROM {src} WHERE term NOT IN (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS rn, count(*) OVER () AS n FROM {src} GROUP BY term) WHERE rn <= floor({F32('n')} * {F32(fraction)}))"
+
+
+def _score(postings: str, queries: str) -> str:
+    return f"SELECT query_id, doc_id, CAST(sum(q0.weight * p0.weight) AS BIGINT) AS score FROM {postings} p0 JOIN {queries} q0 USING (term) GROUP BY query_id, doc_id HAVING sum(q0.weight * p0.weight) > 0"
+
+
+def _best(src: str, k: int) -> str:
+    return f"SELECT query_id, CAST(rn AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM {src}) WHERE rn <= {k}"
+
+
+def _two_stage(name: str, postings: str, pruned: str, k: int = K) -> str:
+    return f"{name}1 AS ({_score(postings, pruned)}), {name}2 AS ({_best(name + '1', POOL)}), {name}3 AS (SELECT c.query_id, c.doc_id, CAST(sum(q0.weight * d0.weight) AS BIGINT) AS score FROM {name}2 c JOIN d d0 USING (doc_id) JOIN q q0 ON q0.query_id = c.query_id AND q0.term = d0.term GROUP BY c.query_id, c.doc_id), {name} AS ({_best(name + '3', k)})"
+
+
+def _with(*ctes: str, out: str) -> str:
+    return f"WITH {', '.join(ctes)} {out}"
+
+
+_REL = "r AS (SELECT b0.item_id AS query_id, d0.doc_id, CAST(1 + coalesce(max(l.quality), 0) AS INTEGER) AS relevance FROM documents d0 JOIN benchmark b0 ON contains(d0.text, b0.text) LEFT JOIN labels l ON l.doc_id = d0.doc_id GROUP BY ALL)"
+# Flagship settings.
+FLAG_DOC, FLAG_LIST, FLAG_QUERY = VectorPrune(alpha=0.9), VectorPrune(alpha=0.9), QueryPrune(alpha=0.7)
+_FLAG = [D, Q, f"pd AS ({_mass_excl('d', 'doc_id', 'term', 0.9)})", f"pl AS ({_mass_excl('pd', 'term', 'doc_id', 0.9)})", "qi AS (SELECT * FROM q WHERE term IN (SELECT term FROM pl))", f"qp AS ({_mass_incl('qi', 'query_id', 'term', 0.7)})"]
+
+
+def _add(name: str, sql: str) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name], ORACLES[name] = f, sql
+        return f
+
+    return put
+
+
+def _register_pruning() -> None:
+    doc, lst, qry = ("doc_id", "term"), ("term", "doc_id"), ("query_id", "term")
+    rows = (
+        ("doc_alpha_mass", "docs_a", D, "d", lambda x: prune.mass_exclusive(x, *doc, ALPHA), _mass_excl("d", *doc, ALPHA)),
+        ("doc_max_ratio", "docs_a", D, "d", lambda x: prune.doc_ratio(x, "doc_id", RATIO), _ratio("d", *doc, _DOC_RULE)),
+        ("doc_fixed_top", "docs_a", D, "d", lambda x: prune.fixed_top(x, *doc, TOP), _top("d", *doc, TOP)),
+        ("list_alpha_mass", "docs_a", D, "d", lambda x: prune.list_mass_exclusive(x, ALPHA), _mass_excl("d", *lst, ALPHA)),
+        ("list_max_ratio", "docs_a", D, "d", lambda x: prune.list_ratio(x, RATIO), _ratio("d", *lst, _LIST_RULE)),
+        ("list_fixed_top", "docs_a", D, "d", lambda x: prune.fixed_top(x, *lst, TOP), _top("d", *lst, TOP)),
+        ("lambda_prune", "docs_a", D, "d", lambda x: prune.fixed_top(x, *lst, 5, signed=True), _top("d", *lst, 5, True)),
+        ("idf_prune", "docs_a", D, "d", lambda x: prune.drop_longest_lists(x, 0.05), _without_longest("d", 0.05)),
+        ("conv_doc_alpha", "docs_a", D, "d", lambda x: prune.mass_inclusive(x, *doc, ALPHA, guard=False), _mass_incl("d", *doc, ALPHA)),
+        ("conv_doc_max", "docs_a", D, "d", lambda x: prune.plain_ratio(x, "doc_id", RATIO), _ratio("d", *doc, _PLAIN_RULE, "weight")),
+        ("conv_list_max", "docs_a", D, "d", lambda x: prune.plain_ratio(x, "term", RATIO), _ratio("d", *lst, _PLAIN_RULE, "weight")),
+        ("query_alpha_mass", "queries_a", Q, "q", lambda x: prune.mass_inclusive(x, *qry, ALPHA), _mass_incl("q", *qry, ALPHA)),
+        ("query_alpha_int8", "queries_a", Q, "q", lambda x: prune.mass_inclusive_int8(x, *qry, ALPHA), _mass_int8("q", *qry, ALPHA)),
+        ("query_max_ratio", "queries_a", Q, "q", lambda x: prune.query_ratio(x, "query_id", RATIO), _ratio("q", *qry, _QUERY_RULE, "weight")),
+        ("query_plain_ratio", "queries_a", Q, "q", lambda x: prune.plain_ratio(x, "query_id", RATIO), _ratio("q", *qry, _PLAIN_RULE, "weight")),
+        ("query_fixed_top", "queries_a", Q, "q", lambda x: prune.fixed_top(x, *qry, TOP, signed=True), _top("q", *qry, TOP, True)),
+        ("query_cut", "queries_a", Q, "q", lambda x: prune.fixed_top(x, *qry, 5, signed=True), _top("q", *qry, 5, True)),
+    )
+    for name, source, cte, alias, f, sql in rows:
+        key = "query_id" if alias == "q" else "doc_id"
+        QUERIES[name] = lambda s, d, f=f, source=source, key=key: f(held(s, d, source)).select(key, "term", "weight")
+        ORACLES[name] = _with(cte, f"o AS ({sql})", out=f"SELECT {key}, term, weight FROM o")
+    QUERIES["doc_prune_pipeline"] = lambda s, d: prune.prune_docs(held(s, d, "docs_a"), VectorPrune(0.9, 0.5, 40)).select("doc_id", "term", "weight")
+    half = lambda x: x.replace(F32(RATIO), F32(0.5))
+    ORACLES["doc_prune_pipeline"] = _with(D, f"o1 AS ({_mass_excl('d', *doc, 0.9)})", f"o2 AS ({_ratio('o1', *doc, half(_DOC_RULE))})", out=f"SELECT doc_id, term, weight FROM ({_top('o2', *doc, 40)})")
+    QUERIES["list_prune_pipeline"] = lambda s, d: prune.prune_lists(held(s, d, "docs_a"), VectorPrune(0.9, 0.5, 40, 0.02)).select("doc_id", "term", "weight")
+    ORACLES["list_prune_pipeline"] = _with(D, f"o1 AS ({_mass_excl('d', *lst, 0.9)})", f"o2 AS ({_ratio('o1', *lst, half(_LIST_RULE))})", f"o3 AS ({_top('o2', *lst, 40)})", out=_without_longest("o3", 0.02))
+    QUERIES["query_prune_sequential"] = lambda s, d: prune.prune_queries(held(s, d, "queries_a"), QueryPrune(0.8, 0.5, 6, "all", "all"), held(s, d, "docs_a")).select("query_id", "term", "weight")
+    ORACLES["query_prune_sequential"] = _with(D, Q, f"o1 AS ({_mass_excl('q', *qry, 0.8)})", f"o2 AS ({_ratio('o1', *qry, half(_DOC_RULE))})", f"o3 AS ({_top('o2', *qry, 6)})", out="SELECT query_id, term, weight FROM o3 WHERE term IN (SELECT term FROM d)")
+    QUERIES["query_prune_exclusive"] = lambda s, d: prune.prune_queries(held(s, d, "queries_a"), QueryPrune(0.8, 0.5, 6), held(s, d, "docs_a")).select("query_id", "term", "weight")
+    ORACLES["query_prune_exclusive"] = _with(D, Q, "o1 AS (SELECT * FROM q WHERE term IN (SELECT term FROM d))", out=f"SELECT query_id, term, weight FROM ({_mass_incl('o1', *qry, 0.8)})")
+    QUERIES["pruned_token_audit"] = lambda s, d: prune.audit(held(s, d, "docs_a"), prune.mass_exclusive(held(s, d, "docs_a"), *doc, ALPHA), held(s, d, "docs_a"))
+    ORACLES["pruned_token_audit"] = _with(D, f"o AS ({_mass_excl('d', *doc, ALPHA)})", out="SELECT d.term, count(*) AS pruned_count, any_value(n.n) AS posting_list_length FROM d JOIN (SELECT term, count(*) AS n FROM d GROUP BY term) n USING (term) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = d.doc_id AND o.term = d.term) GROUP BY d.term")
+
+
+_register_pruning()
+
+
+@_add("quantize_docs", _with(D, out="SELECT doc_id, term, weight FROM d"))
+def quantize_docs(s: SparkSession, d: str) -> DataFrame:
+    return held(s, d, "docs_a").select("doc_id", "term", "weight")
+
+
+@_add("quantize_variants", f"SELECT vec_id, term, CASE WHEN v < 0 THEN -{_QUANT.format(v='-v')} ELSE {_QUANT.format(v='v')} END AS signed, CAST(round_even(least(greatest(CAST(v AS DOUBLE), 0.0), 3.0) / 3.0 * 255.0, 0) AS INTEGER) AS unsigned_byte FROM (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS term, unnest(embedding) AS v FROM embeddings)")
+def quantize_variants(s: SparkSession, d: str) -> DataFrame:
+    v = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("term", "v"))
+    return v.select("vec_id", "term", quantize.signed(F.col("v")).alias("signed"), quantize.unsigned_byte(F.col("v")).alias("unsigned_byte"))
+
+
+@_add("dense_to_sparse", "SELECT vec_id, term, round(CAST(v AS DOUBLE), 6) AS value FROM (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS term, unnest(embedding) AS v FROM embeddings) WHERE abs(v) > 1e-6")
+def dense_to_sparse(s: SparkSession, d: str) -> DataFrame:
+    return quantize.dense_to_sparse(s.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding").withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@_add("sparse_to_dense", _with(B, out="SELECT doc_id, array_to_string(list_transform(range(64), lambda i: CAST(coalesce(m[CAST(i AS INTEGER)], 0) AS VARCHAR)), ',') AS dense FROM (SELECT doc_id, map(list(term), list(weight)) AS m FROM b GROUP BY doc_id)"))
+def sparse_to_dense(s: SparkSession, d: str) -> DataFrame:
+    return quantize.sparse_to_dense(held(s, d, "docs_b"), "doc_id", 64).select("doc_id", F.array_join(F.transform("dense", lambda x: x.cast("string")), ",").alias("dense"))
+
+
+@_add("invert_index_stats", _with(D, out="SELECT count(*) AS terms, CAST(CAST(sum(n) AS BIGINT) // count(*) AS BIGINT) AS avg_len, max(n) AS max_len, min(n) AS min_len FROM (SELECT term, count(*) AS n FROM d GROUP BY term)"))
+def invert_index_stats(s: SparkSession, d: str) -> DataFrame:
+    return index.list_stats(held(s, d, "docs_a"))
+
+
+@_add("window_layout", _with(D, out=f"SELECT term, doc_id // {SMALL_WINDOW} AS window_id, count(*) AS postings, min(doc_id % {SMALL_WINDOW}) AS first_idx, max(doc_id % {SMALL_WINDOW}) AS last_idx FROM d GROUP BY ALL"))
+def window_layout(s: SparkSession, d: str) -> DataFrame:
+    p = index.windowed(held(s, d, "docs_a"), SMALL_WINDOW, layout=True)
+    return p.groupBy("term", "window_id").agg(F.count("*").alias("postings"), F.min("local_idx").alias("first_idx"), F.max("local_idx").alias("last_idx"))
+
+
+@_add("window_locality", _with(D, f"g AS (SELECT *, doc_id // {SMALL_WINDOW} AS w, doc_id - lag(doc_id) OVER (PARTITION BY term, doc_id // {SMALL_WINDOW} ORDER BY doc_id) AS gap, count(*) OVER (PARTITION BY term, doc_id // {SMALL_WINDOW}) AS n FROM d)", out="SELECT count(*) AS entries, CAST(sum(CASE WHEN n >= 2 AND gap IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS windows_with_data, round(avg(gap), 6) AS avg_gap, round(avg(CASE WHEN gap = 1 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 6) AS consecutive_ratio FROM g"))
+def window_locality(s: SparkSession, d: str) -> DataFrame:
+    return analyze.locality(index.windowed(held(s, d, "docs_a"), SMALL_WINDOW))
+
+
+@_add("memory_model", _with(D, out=f"SELECT CAST(count(DISTINCT term) * (26 + 24 * (max(doc_id) // {SMALL_WINDOW} + 1)) + 8 * count(*) AS BIGINT) AS inverted_bytes, CAST(24 * count(DISTINCT doc_id) + 3 * count(*) AS BIGINT) AS forward_bytes FROM d"))
+def memory_model(s: SparkSession, d: str) -> DataFrame:
+    return index.memory_model(index.build(held(s, d, "docs_a"), window=SMALL_WINDOW))
+
+
+def _plain_index(s: SparkSession, d: str, window: int = index.WINDOW) -> index.Index:
+    return index.build(held(s, d, "docs_a"), window=window)
+
+
+_OUT = "SELECT query_id, rank, doc_id, score FROM "
+
+
+@_add("search_exact", _with(D, Q, _two_stage("s", "d", "q"), out=_OUT + "s"))
+def search_exact(s: SparkSession, d: str) -> DataFrame:
+    return search.exact(_plain_index(s, d), held(s, d, "queries_a"), K, POOL)
+
+
+@_add("search_single_stage", _with(D, Q, f"s1 AS ({_score('d', 'q')})", out=_best("s1", K)))
+def search_single_stage(s: SparkSession, d: str) -> DataFrame:
+    return search.search(_plain_index(s, d), held(s, d, "queries_a"), SearchConfig(K, POOL, rerank=False))
+
+
+@_add("search_two_stage", _with(D, Q, f"pd AS ({_mass_excl('d', 'doc_id', 'term', ALPHA)})", _two_stage("s", "pd", "q"), out=_OUT + "s"))
+def search_two_stage(s: SparkSession, d: str) -> DataFrame:
+    return search.search(held_index(s, d, VectorPrune(alpha=ALPHA)), held(s, d, "queries_a"), SearchConfig(K, POOL))
+
+
+@_add("search_query_pruned_seq", _with(D, Q, f"o1 AS ({_mass_excl('q', 'query_id', 'term', 0.8)})", f"o2 AS ({_ratio('o1', 'query_id', 'term', _DOC_RULE.replace(F32(RATIO), F32(0.5)))})", f"o3 AS ({_top('o2', 'query_id', 'term', 20)})", _two_stage("s", "d", "o3"), out=_OUT + "s"))
+def search_query_pruned_seq(s: SparkSession, d: str) -> DataFrame:
+    return search.sequential_pruned(_plain_index(s, d), held(s, d, "queries_a"), QueryPrune(0.8, 0.5, 20), K, POOL)
+
+
+@_add("search_full_pruned", _with(*_FLAG, _two_stage("s", "pl", "qp"), out=_OUT + "s"))
+def search_full_pruned(s: SparkSession, d: str) -> DataFrame:
+    return search.search(held_index(s, d, FLAG_DOC, FLAG_LIST), held(s, d, "queries_a"), SearchConfig(K, POOL, prune=FLAG_QUERY))
+
+
+@_add("search_padded", _with(D, f"q0 AS ({_tf('benchmark', 'item_id', 'query_id')})", f"q AS ({_top('q0', 'query_id', 'term', 1, True)})", _two_stage("s", "d", "q"), f"slots AS (SELECT query_id, CAST(unnest(range(1, {K + 1})) AS INTEGER) AS rank FROM (SELECT DISTINCT query_id FROM q))", out="SELECT query_id, rank, coalesce(s.doc_id, 0) AS doc_id FROM slots LEFT JOIN s USING (query_id, rank)"))
+def search_padded(s: SparkSession, d: str) -> DataFrame:
+    one = prune.fixed_top(held(s, d, "queries_a"), "query_id", "term", 1, signed=True)
+    return search.search(_plain_index(s, d), one, SearchConfig(K, POOL, pad_zero=True))
+
+
+@_add("search_max_windows", _with(D, Q, f"dw AS (SELECT * FROM d WHERE doc_id // {SMALL_WINDOW} < 5)", _two_stage("s", "dw", "q"), out=_OUT + "s"))
+def search_max_windows(s: SparkSession, d: str) -> DataFrame:
+    return search.exact(_plain_index(s, d, SMALL_WINDOW), held(s, d, "queries_a"), K, POOL, max_windows=5)
+
+
+@_add("search_block_max", _with(D, Q, f"s1 AS ({_score('d', 'q')})", out=_best("s1", K)))
+def search_block_max(s: SparkSession, d: str) -> DataFrame:
+    return blockmax_search(_plain_index(s, d), held(s, d, "queries_a"), K)
+
+
+@_add("postings_touched", _with(D, Q, out="SELECT query_id, count(*) AS touched FROM q JOIN d USING (term) GROUP BY query_id"))
+def postings_touched(s: SparkSession, d: str) -> DataFrame:
+    return search.postings_touched(_plain_index(s, d), held(s, d, "queries_a"))
+
+
+@_add("top_k_ascending", _with(D, Q, f"s1 AS ({_score('d', 'q')})", f"s2 AS ({_best('s1', K)})", out="SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS INTEGER) AS rank, doc_id, score FROM s2"))
+def top_k_ascending(s: SparkSession, d: str) -> DataFrame:
+    scored = search.accumulate(_plain_index(s, d).postings, held(s, d, "queries_a"))
+    return topk.top_k(scored, K, ascending=True).select("query_id", "rank", "doc_id", "score")
+
+
+@_add("top_k_distinct", _with(D, Q, f"s1 AS ({_score('d', 'q')})", f"s3 AS (SELECT query_id, doc_id // {SMALL_WINDOW} AS doc_id, max(score) AS score FROM s1 GROUP BY ALL)", out=_best("s3", 5)))
+def top_k_distinct(s: SparkSession, d: str) -> DataFrame:
+    scored = search.accumulate(_plain_index(s, d, SMALL_WINDOW).postings, held(s, d, "queries_a")).select("query_id", F.col("window_id").alias("doc_id"), "score")
+    return topk.top_k_distinct(scored, 5).select("query_id", "rank", "doc_id", "score")
+
+
+_RES = [*_FLAG, _two_stage("s", "pl", "qp"), _REL]
+_PER = f"per AS (SELECT r.query_id, min(CASE WHEN relevance > 0 THEN s.rank END) AS first, coalesce(sum(CASE WHEN s.rank IS NOT NULL THEN (pow(2.0, relevance) - 1) / log2(s.rank + 1.0) END), 0) AS dcg, sum(CASE WHEN best <= {K} THEN (pow(2.0, relevance) - 1) / log2(best + 1.0) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS best FROM r) r LEFT JOIN s ON s.query_id = r.query_id AND s.doc_id = r.doc_id AND s.rank <= {K} GROUP BY r.query_id)"
+
+
+@_add("recall_at_k", _with(*_FLAG, _two_stage("s", "pl", "qp"), _two_stage("t", "d", "q"), out="SELECT round(avg(r), 6) AS recall FROM (SELECT t.query_id, count(s.doc_id) / CAST(count(*) AS DOUBLE) AS r FROM t LEFT JOIN s ON s.query_id = t.query_id AND s.doc_id = t.doc_id GROUP BY t.query_id)"))
+def recall_at_k(s: SparkSession, d: str) -> DataFrame:
+    return metrics.recall(search_full_pruned(s, d), search_exact(s, d), K)
+
+
+@_add("ndcg_at_k", _with(*_RES, _PER, out="SELECT round(avg(dcg / idcg), 6) AS ndcg FROM per WHERE idcg > 0"))
+def ndcg_at_k(s: SparkSession, d: str) -> DataFrame:
+    return metrics.ndcg(search_full_pruned(s, d), held(s, d, "qrels_a"), K)
+
+
+@_add("mrr_at_k", _with(*_RES, _PER, out="SELECT round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM per"))
+def mrr_at_k(s: SparkSession, d: str) -> DataFrame:
+    return metrics.mrr(search_full_pruned(s, d), held(s, d, "qrels_a"), K)
+
+
+@_add("success_at_k", _with(*_RES, _PER, out="SELECT round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS success FROM per"))
+def success_at_k(s: SparkSession, d: str) -> DataFrame:
+    return metrics.success(search_full_pruned(s, d), held(s, d, "qrels_a"), K)
+
+
+@_add("dot", _with(D, Q, out="SELECT query_id, doc_id, CAST(sum(q.weight * d.weight) AS BIGINT) AS dot FROM q JOIN d USING (term) GROUP BY query_id, doc_id"))
+def dot(s: SparkSession, d: str) -> DataFrame:
+    return distance.dot(held(s, d, "queries_a"), held(s, d, "docs_a"), "query_id", "doc_id")
+
+
+@_add("dp_distance", _with(D, Q, out="SELECT query_id, doc_id, round(1.0 / (CAST(sum(q.weight * d.weight) AS DOUBLE) + 1e-9), 9) AS distance FROM q JOIN d USING (term) GROUP BY query_id, doc_id"))
+def dp_distance(s: SparkSession, d: str) -> DataFrame:
+    return dot(s, d).select("query_id", "doc_id", F.round(distance.dot_distance(F.col("dot")), 9).alias("distance"))
+
+
+@_add("norms", _with(D, out="SELECT doc_id, round(sqrt(CAST(sum(weight * weight) AS DOUBLE)), 6) AS norm FROM d GROUP BY doc_id"))
+def norms(s: SparkSession, d: str) -> DataFrame:
+    return distance.norms(held(s, d, "docs_a"), "doc_id").withColumn("norm", F.round("norm", 6))
+
+
+_SUMS = "n AS (SELECT query_id, doc_id, sum(q.weight * d.weight) AS dt, sum(abs(q.weight - d.weight)) AS ad, sum((q.weight - d.weight) * (q.weight - d.weight)) AS sd, sum(q.weight) AS qs, sum(d.weight) AS ds, sum(q.weight * q.weight) AS q2, sum(d.weight * d.weight) AS d2 FROM q JOIN d USING (term) GROUP BY query_id, doc_id), qn AS (SELECT query_id, sum(weight) AS s1, sum(weight * weight) AS s2 FROM q GROUP BY query_id), dn AS (SELECT doc_id, sum(weight) AS s1, sum(weight * weight) AS s2 FROM d GROUP BY doc_id)"
+_PAIR = "FROM n JOIN qn USING (query_id) JOIN dn USING (doc_id)"
+
+
+@_add("cosine", _with(D, Q, _SUMS, out=f"SELECT query_id, doc_id, round(dt / (sqrt(CAST(qn.s2 AS DOUBLE)) * sqrt(CAST(dn.s2 AS DOUBLE))), 6) AS cosine {_PAIR}"))
+def cosine(s: SparkSession, d: str) -> DataFrame:
+    return distance.cosine(held(s, d, "queries_a"), held(s, d, "docs_a"), "query_id", "doc_id").withColumn("cosine", F.round("cosine", 6))
+
+
+@_add("l2", _with(D, Q, _SUMS, out=f"SELECT query_id, doc_id, round(sqrt(CAST(sd + qn.s2 - q2 + dn.s2 - d2 AS DOUBLE)), 6) AS euclidean {_PAIR}"))
+def l2(s: SparkSession, d: str) -> DataFrame:
+    q, x = held(s, d, "queries_a"), held(s, d, "docs_a")
+    return distance.euclidean(q, x, dot(s, d).select("query_id", "doc_id"), "query_id", "doc_id").withColumn("euclidean", F.round("euclidean", 6))
+
+
+@_add("l1", _with(D, Q, _SUMS, out=f"SELECT query_id, doc_id, CAST(ad + qn.s1 - qs + dn.s1 - ds AS BIGINT) AS manhattan {_PAIR}"))
+def l1(s: SparkSession, d: str) -> DataFrame:
+    q, x = held(s, d, "queries_a"), held(s, d, "docs_a")
+    return distance.manhattan(q, x, dot(s, d).select("query_id", "doc_id"), "query_id", "doc_id")
+
+
+@_add("dense_dot", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS self_dot FROM embeddings")
+def dense_dot(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.round(distance.dense_dot(F.col("embedding"), F.col("embedding")), 6).alias("self_dot"))
+
+
+_MEM = "m AS (SELECT label AS cluster_id, doc_id, term, weight FROM b JOIN embeddings e ON e.vec_id = b.doc_id)"
+
+
+@_add("cluster_centroid", _with(B, _MEM, out="SELECT cluster_id, term, CAST(trunc(CAST(sum(weight) AS DOUBLE) / count(*)) AS INTEGER) AS weight FROM m GROUP BY cluster_id, term"))
+def cluster_centroid(s: SparkSession, d: str) -> DataFrame:
+    return cluster.centroid(held(s, d, "docs_b"), held(s, d, "members_b"))
+
+
+@_add("cluster_summary", _with(B, _MEM, out="SELECT cluster_id, term, max(weight) AS weight FROM m GROUP BY cluster_id, term"))
+def cluster_summary(s: SparkSession, d: str) -> DataFrame:
+    return cluster.summary(held(s, d, "docs_b"), held(s, d, "members_b"))
+
+
+@_add("summary_alpha", _with(B, _MEM, "u AS (SELECT cluster_id, term, max(weight) AS weight FROM m GROUP BY cluster_id, term)", out=_mass_excl("u", "cluster_id", "term", ALPHA)))
+def summary_alpha(s: SparkSession, d: str) -> DataFrame:
+    return cluster.summary_mass(held(s, d, "docs_b"), held(s, d, "members_b"), ALPHA).select("cluster_id", "term", "weight")
+
+
+@_add("cluster_valued", _with(B, _MEM, out="SELECT cluster_id, doc_id, weight FROM m WHERE term = 7"))
+def cluster_valued(s: SparkSession, d: str) -> DataFrame:
+    return cluster.valued(held(s, d, "docs_b"), held(s, d, "members_b"), 7)
+
+
+@_add("latency_percentiles", "WITH o AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT any_value(n) AS n, round(sum(v) / any_value(n), 6) AS avg, min(v) AS min, max(v) AS max, " + ", ".join(f"min(CASE WHEN i >= least(floor(n * CAST({p} AS DOUBLE)), n - 1) THEN v END) AS {a}" for p, a in ((0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))) + " FROM o")
+def latency_percentiles(s: SparkSession, d: str) -> DataFrame:
+    return analyze.latency_stats(s.read.parquet(f"{d}/events.parquet"), "value")
+
+
+@_add("stage_breakdown", "WITH g AS (SELECT user_id % 10 AS \"group\", event_type AS tag, sum(CAST(round(value * 100) AS BIGINT)) AS c FROM events GROUP BY ALL) SELECT \"group\", tag, CAST(c AS BIGINT) AS seconds, round(c * 100.0 / sum(c) OVER (PARTITION BY \"group\"), 2) AS percent FROM g")
+def stage_breakdown(s: SparkSession, d: str) -> DataFrame:
+    t = s.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 10).alias("group"), F.col("event_type").alias("tag"), F.round(F.col("value") * 100).cast("long").alias("seconds"))
+    return analyze.stage_breakdown(t)
+
+
+@_add("pisa_counts", "SELECT CAST(item_id AS VARCHAR) AS query_id, token, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark) GROUP BY ALL")
+def pisa_counts(s: SparkSession, d: str) -> DataFrame:
+    b = s.read.parquet(f"{d}/benchmark.parquet")
+    return text.parse_pisa(b.select(F.concat(F.col("item_id").cast("string"), F.lit(": "), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), " ")).alias("value")))
+
+
+@_add("jsonl_vectors", _with(Q, out="SELECT query_id, '{\"id\":\"' || query_id || '\",\"vector\":{' || string_agg('\"' || term || '\":' || weight || '.0', ',' ORDER BY term) || '}}' AS line FROM q WHERE weight > 0 GROUP BY query_id"))
+def jsonl_vectors(s: SparkSession, d: str) -> DataFrame:
+    return text.jsonl_lines(held(s, d, "queries_a"), "query_id")
+
+
+@_add("trec_lines", _with(*_FLAG, _two_stage("s", "pl", "qp"), out="SELECT query_id, rank, query_id || ' Q0 ' || doc_id || ' ' || rank || ' ' || score || '.0000 run' AS line FROM s"))
+def trec_lines(s: SparkSession, d: str) -> DataFrame:
+    return text.trec_lines(search_full_pruned(s, d))
+
+
+@_add("result_lines", _with(*_FLAG, _two_stage("s", "pl", "qp"), out="SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS value FROM s GROUP BY query_id"))
+def result_lines(s: SparkSession, d: str) -> DataFrame:
+    return text.result_lines(search_full_pruned(s, d))
+
+
+@_add("conversion_stats", _with(D, f"o AS ({_ratio('d', 'term', 'doc_id', _PLAIN_RULE, 'weight')})", out="SELECT CAST(n - m AS BIGINT) AS removed, round((n - m) * 100.0 / n, 4) AS removed_percent, round(m / CAST(k AS DOUBLE), 4) AS terms_per_doc FROM (SELECT count(*) AS n FROM d), (SELECT count(*) AS m, count(DISTINCT doc_id) AS k FROM o)"))
+def conversion_stats(s: SparkSession, d: str) -> DataFrame:
+    x = held(s, d, "docs_a")
+    return text.conversion_stats(x, prune.plain_ratio(x, "term", RATIO))
+
+
+@_add("experiment_counts", "SELECT * FROM (VALUES ('Q', 19), ('D', 11), ('P', 10), ('QD', 3), ('QP', 3)) t(phase, \"count\")")
+def experiment_counts(s: SparkSession, d: str) -> DataFrame:
+    return experiments.plan_counts(s)
+
+
+@_add("qrels_containment", _with(_REL, out="SELECT query_id, doc_id, relevance FROM r"))
+def qrels_containment(s: SparkSession, d: str) -> DataFrame:
+    return held(s, d, "qrels_a")
