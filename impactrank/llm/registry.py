@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._spark import table
 
@@ -23,11 +24,48 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_totals(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"), limit=4096)
 
 
+def _remainder(column: str, divisor: int):
+    """crc32 of an id as text, modulo ``divisor``: the held-out rule."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(_remainder("doc_id", 4) != 2), rows_per_language=500)
+    out = identify(docs, model, spans=False)
+    return out.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = fit(docs, labels.where(_remainder("doc_id", 5) != 0), rows=3000)
+    return score(docs, net, cutoff=0.3).select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"), capacity=4096, end_id=1, keep_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_best_fit_packing, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op4_best_fit_packing, op9_token_counts, op10_exact_top_k)}
+ORACLES: dict[str, str] = {
+    "op10_exact_top_k": """
+WITH c AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
+           FROM embeddings WHERE embedding IS NOT NULL),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+           FROM (SELECT * FROM c WHERE vec_id % 50 = 0) q JOIN c ON c.i = q.i AND c.vec_id <> q.vec_id GROUP BY q.vec_id, c.vec_id),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
