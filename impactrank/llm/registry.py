@@ -24,6 +24,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100, digest=True)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_items
+
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_edits=0.2, recall=0.99)
+    return found.select("doc_id", "contaminated", "n_items", "item_ids", "similarity")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import prefix_totals
 
@@ -71,7 +78,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"), capacity=4096, end_id=1, keep_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_jaccard_join, op4_best_fit_packing, op6_suffix_dedup, op9_token_counts, op10_exact_top_k)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_jaccard_join, op4_best_fit_packing, op6_suffix_dedup, op7_decontaminate, op9_token_counts, op10_exact_top_k)}
 ORACLES: dict[str, str] = {
     "op10_exact_top_k": """
 WITH c AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
