@@ -18,6 +18,13 @@ def _public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    out = archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0, payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -31,6 +38,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "n_items", "item_ids", "similarity")
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tool_calls import REPLY_SCHEMA, link, turns_as_calls
+
+    calls, results = turns_as_calls(table(spark, sf_dir, "conversations"))
+    out = link(calls, results, REPLY_SCHEMA)
+    return out.select("conv_id", "turn", "call_id", "kind", "stage", F.array_join("errors", "; ").alias("errors"), "line")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import prefix_totals
 
@@ -78,8 +93,21 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"), capacity=4096, end_id=1, keep_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_jaccard_join, op4_best_fit_packing, op6_suffix_dedup, op7_decontaminate, op9_token_counts, op10_exact_top_k)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_jaccard_join, op4_best_fit_packing, op5_warc, op6_suffix_dedup, op7_decontaminate, op8_tool_calls, op9_token_counts, op10_exact_top_k)}
 ORACLES: dict[str, str] = {
+    "op8_tool_calls": """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+     c AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, text, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS dep
+           FROM t WHERE role IS DISTINCT FROM 'assistant'),
+     r AS (SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant')
+SELECT c.conv_id, c.turn, c.call_id, 'call' AS kind, CAST(0 AS BIGINT) AS stage,
+       concat_ws('; ', CASE WHEN dep IS NOT NULL AND dep NOT IN (SELECT call_id FROM c) THEN 'depends_on: unknown call' END, CASE WHEN r.turn IS NULL THEN 'result: missing' END) AS errors,
+       '{"arguments":{"chars":' || length(c.text) || ',"prompt":' || CAST(to_json(c.text) AS VARCHAR) || '},"call_id":"' || c.call_id || '","kind":"call","name":"reply"}' AS line
+FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+UNION ALL
+SELECT r.conv_id, r.turn, r.call_id, CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'result' END, CASE WHEN c.turn IS NULL THEN NULL ELSE CAST(0 AS BIGINT) END, '',
+       '{"call_id":"' || r.call_id || '","content":' || CAST(to_json(r.text) AS VARCHAR) || ',"kind":"' || CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'result' END || '"}'
+FROM r LEFT JOIN c ON r.conv_id = c.conv_id AND r.call_id = c.call_id""",
     "op10_exact_top_k": """
 WITH c AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
            FROM embeddings WHERE embedding IS NOT NULL),
