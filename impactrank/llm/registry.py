@@ -93,7 +93,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"), capacity=4096, end_id=1, keep_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_jaccard_join, op4_best_fit_packing, op5_warc, op6_suffix_dedup, op7_decontaminate, op8_tool_calls, op9_token_counts, op10_exact_top_k)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_jaccard_join, op4_best_fit_packing, op5_warc, op6_suffix_dedup, op7_decontaminate, op8_tool_calls, op9_token_counts, op10_exact_top_k, pipeline)}
 ORACLES: dict[str, str] = {
     "op8_tool_calls": """
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
