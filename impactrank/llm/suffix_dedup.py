@@ -12,8 +12,9 @@ size, so what provably cannot matter is left out first, without loss:
 3. An anchor with one distinct run left has nothing that could equal it.
 
 The runs that remain, distinct texts around a shared anchor, are dealt by anchor
-(large groups by the hash of the window too), their suffixes sorted, neighbours'
-prefixes compared, and the first of each group of equal windows kept.
+(large groups by the hash of the window too).  Windows whose core (all but a sixth of
+their bytes) no other run of the anchor has are unique.  The suffixes of the texts left
+are sorted, neighbours' prefixes compared, and the first of equal windows kept.
 """
 
 from __future__ import annotations
@@ -27,24 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import drop_table, prepare, shared_dir, write_table
-from ._text import pieces, prefix_hash, range_hash, row_of
+from ._text import mix, pieces, prefix_hash, range_hash, row_of
 from .suffix_array import equal_prefixes
 
 #: Bits of the filter of anchors that repeat (64 MB at most are broadcast), and bits of its parts.
 FILTER_BITS, PART_BITS = 1 << 29, 1 << 20
 #: Distinct runs of an anchor that one group sorts at most, about; bytes sorted at once.
-GROUP, SORT_BYTES = 2048, 1 << 20
+GROUP, SORT_BYTES = 2048, 2 << 20
 
 
 def runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, first window, number of windows and row of each run, and the running hash."""
+    """Anchor hash, first window, number of windows, row and anchor offset of each run, and the running hash."""
     k = max(4, length // 3)
     w = length - k + 1
     n = len(data)
     running = prefix_hash(data)
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty.astype(np.uint64), empty, empty, empty, running
+        return empty.astype(np.uint64), empty, empty, empty, empty, running
     at = np.arange(n - k + 1)
     value = range_hash(running, at, at + k)
     best = at.astype(np.int32)
@@ -68,7 +69,40 @@ def runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ..
     new[1:] &= (best[1:] != best[:-1]) | ~ok[:-1]
     start = np.flatnonzero(new)
     stop = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True)) + 1
-    return value[best[start]], start, stop - start, row_of(off, start), running
+    return value[best[start]], start, stop - start, row_of(off, start), best[start] - start, running
+
+
+def shared_cores(text: np.ndarray, size: np.ndarray, anchor: np.ndarray, lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (row, start in text) that could equal one of another row: those whose core another row has.
+
+    Windows are taken by the number of bytes before their anchor, in classes of a few; all
+    windows of a class have a long core in common at the same place around the anchor.
+    """
+    k = max(4, length // 3)
+    step = max(1, (length - k + 1) // 4)
+    first, windows = np.cumsum(size) - size, size - length + 1
+    running = prefix_hash(text)
+    rows, keys, low_, high_ = [], [], [], []
+    for low in range(0, length - k + 1, step):
+        high = min(low + step - 1, length - k)
+        most, least = np.minimum(lead, high), np.maximum(lead - windows + 1, low)
+        some = np.flatnonzero(most >= least)
+        at = first[some] + lead[some]
+        core = range_hash(running, at - low, at + length - high)
+        rows.append(some)
+        keys.append(mix(core ^ mix(anchor[some].view(np.uint64) + np.uint64(low))))
+        low_.append(least[some])
+        high_.append(most[some])
+    rows, keys, low_, high_ = (np.concatenate(x) for x in (rows, keys, low_, high_))
+    _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+    keep = count[back] > 1
+    rows, low_, high_ = rows[keep], low_[keep], high_[keep]
+    n = high_ - low_ + 1
+    own = np.repeat(rows, n)
+    before = np.repeat(low_, n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    start = first[own] + lead[own] - before
+    order = np.argsort(start, kind="stable")
+    return own[order], start[order]
 
 
 class _Repeats:
@@ -122,34 +156,34 @@ class _Repeats:
         return out
 
     def candidates(self) -> DataFrame:
-        """(anchor, content, doc, start, windows) of runs whose anchor repeats."""
+        """(anchor, content, doc, start, windows, lead) of runs whose anchor repeats; lead is the anchor's offset."""
         sent, shift, length = self.spark.sparkContext.broadcast(self.repeated_anchors()), self.shift, self.length
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = sent.value
             for batch in batches:
                 for part, data, off in pieces(batch, "text", 2 << 20):
-                    anchor, start, count, row, running = runs(data, off, length)
+                    anchor, start, count, row, lead, running = runs(data, off, length)
                     low = (anchor & np.uint64(PART_BITS - 1)).astype(np.int64)
                     keep = (table[(anchor >> shift).astype(np.int64), low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
-                    anchor, start, count, row = anchor[keep], start[keep], count[keep], row[keep]
+                    anchor, start, count, row, lead = anchor[keep], start[keep], count[keep], row[keep], lead[keep]
                     content = range_hash(running, start, start + count - 1 + length)
                     doc = part.column("doc").to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc[row]), pa.array(start - off[row]), pa.array(count.astype(np.int32))], ["anchor", "content", "doc", "start", "windows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc[row]), pa.array(start - off[row]), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32))], ["anchor", "content", "doc", "start", "windows", "lead"])
 
-        return self.docs.mapInArrow(run, "anchor long, content long, doc long, start long, windows int")
+        return self.docs.mapInArrow(run, "anchor long, content long, doc long, start long, windows int, lead int")
 
     def duplicates(self) -> DataFrame:
         """(doc, first, end): byte ranges to remove; they may overlap."""
         length = self.length
         held = write_table(self.candidates(), self.folder, "candidates")
-        firsts = write_table(held.groupBy("anchor", "content", "windows").agg(F.min(F.struct("doc", "start")).alias("at"), F.count("*").alias("n")), self.folder, "firsts")
+        firsts = write_table(held.groupBy("anchor", "content", "windows").agg(F.min(F.struct("doc", "start", "lead")).alias("at"), F.count("*").alias("n")), self.folder, "firsts")
         more = firsts.where("n > 1").select("anchor", "content", "windows", "at")
         copies = held.join(more, ["anchor", "content", "windows"]).where("doc <> at.doc OR start <> at.start").select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + length).alias("end"))
         copies = write_table(copies, self.folder, "copies")
         variants = firsts.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
-        open_ = firsts.join(variants, "anchor").select("anchor", "variants", F.col("at.doc").alias("doc"), F.col("at.start").alias("start"), "windows")
-        wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("anchor", "variants", "start", "windows")).alias("runs"))  # runs of one document
+        open_ = firsts.join(variants, "anchor").select("anchor", "variants", F.col("at.doc").alias("doc"), F.col("at.start").alias("start"), "windows", F.col("at.lead").alias("lead"))
+        wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("anchor", "variants", "start", "windows", "lead")).alias("runs"))  # runs of one document
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -157,7 +191,7 @@ class _Repeats:
                 lists = batch.column("runs")
                 row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
                 inner = lists.flatten()
-                anchor, variants, start, windows = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                anchor, variants, start, windows, lead = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(5))
                 parts = -(-variants // GROUP)
                 begin = off[row] + start
                 out: list[tuple[int, int]] = []
@@ -173,22 +207,30 @@ class _Repeats:
                 doc = batch.column("doc").to_numpy()[row]
                 for a in range(0, max(len(which), 1), 20_000):
                     s = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[which][s]), pa.array(part[s]), pa.array(parts[which][s].astype(np.int64)), pa.array(doc[which][s]), pa.array(start[which][s]), pa.array(texts[s], pa.binary())], ["anchor", "part", "parts", "doc", "start", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[which][s]), pa.array(part[s]), pa.array(parts[which][s].astype(np.int64)), pa.array(doc[which][s]), pa.array(start[which][s]), pa.array(texts[s], pa.binary()), pa.array(lead[which][s].astype(np.int64))], ["anchor", "part", "parts", "doc", "start", "text", "lead"])
 
         def pieces_all(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             from ._text import flat
 
             return flat(batch.column("text"))
 
-        texts = self.docs.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(cut, "anchor long, part long, parts long, doc long, start long, text binary")
+        texts = self.docs.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(cut, "anchor long, part long, parts long, doc long, start long, text binary, lead long")
         dealt = texts.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
         def settle(rows: list[tuple]) -> pa.RecordBatch:
             text = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
             size = np.array([len(r[5]) for r in rows], np.int64)
-            end = np.cumsum(size)
-            own = np.repeat(np.arange(len(rows)), size - length + 1)
-            start = (end - size)[own] + np.arange(len(own)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
+            own, start = shared_cores(text, size, np.array([r[0] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64), length)
+            # Sort only the texts that still have a window.
+            used = np.unique(own)
+            kept = np.zeros(len(rows), np.int64)
+            kept[used] = np.arange(len(used))
+            first = np.cumsum(size) - size
+            inside = start - first[own]
+            rows, size = [rows[i] for i in used.tolist()], size[used]
+            text, end = np.frombuffer(b"".join(r[5] for r in rows), np.uint8), np.cumsum(size)
+            own = kept[own]
+            start = (end - size)[own] + inside
             parts, part = np.array([r[2] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             if (parts > 1).any():
                 h = range_hash(prefix_hash(text), start, start + length)
@@ -212,7 +254,7 @@ class _Repeats:
         def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, size, last = [], 0, None
             for batch in batches:
-                for r in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for r in zip(*(batch.column(i).to_pylist() for i in range(7))):
                     if size > SORT_BYTES and (r[0], r[1]) != last:
                         yield settle(rows)
                         rows, size = [], 0
@@ -247,6 +289,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     give way to ``kept_sha256``.  Texts shorter than ``length`` stay as they are.
     Rows with an equal id are taken for one document.  Other columns are left out.
     """
+    if length < 8:
+        raise ValueError("length must be 8 or more")
     work = _Repeats(docs, length, id_col, text_col)
     ranges = work.duplicates().groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))  # ranges of one document
     ranges = write_table(ranges, work.folder, "ranges")
