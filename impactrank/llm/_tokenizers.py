@@ -168,7 +168,8 @@ class PieceCounter:
     def _count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """One "id" for each segment: its number of tokens (a segment's first space is the model's own)."""
         got = self.library.encode([t[1:].decode("utf-8", "replace") for t in texts], num_threads=1)
-        return np.fromiter(map(len, got), np.int64, len(texts)), np.ones(len(texts), np.int64)
+        # A lone space is its mark; without the model's own space nothing is left to encode.
+        return np.maximum(np.fromiter(map(len, got), np.int64, len(texts)), 1), np.ones(len(texts), np.int64)
 
     def segments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text with a space before each row, and each segment's start, end and row in it."""
