@@ -108,7 +108,7 @@ def shared_cores(text: np.ndarray, size: np.ndarray, anchor: np.ndarray, lead: n
 class _Repeats:
     def __init__(self, docs: DataFrame, length: int, id_col: str, text_col: str):
         self.spark = prepare(docs.sparkSession)
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        self.docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
         self.length, self.folder = length, shared_dir(docs.sparkSession)
 
     def repeated_anchors(self) -> np.ndarray:
@@ -287,7 +287,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     Matches never cross documents, overlapping ones count, and all are judged on the
     input.  ``kept`` holds the bytes left; with ``digest`` the columns spans and kept
     give way to ``kept_sha256``.  Texts shorter than ``length`` stay as they are.
-    Rows with an equal id are taken for one document.  Other columns are left out.
+    Rows with an equal id are taken for one document; rows without an id have no row.
+    Other columns are left out.
     """
     if length < 8:
         raise ValueError("length must be 8 or more")

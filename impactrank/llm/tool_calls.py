@@ -94,15 +94,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     stage.  ``errors`` lists what is wrong (an empty list: nothing): schema problems, an
     unknown dependency, a cycle, a missing or an early result.  ``line`` is JSON with
     keys in order, no spaces and no nulls; object arguments have their keys in order too.
-    Null identifiers link with nothing.  Empty tables give an empty result; columns
+    Null conversations or identifiers link with nothing.  Empty tables give an empty result; columns
     besides those named are left out.  First rows are found by aggregation before the
     hash join, so no identifier or conversation needs one task.
     """
     c, r = calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on"), results.select("conv_id", "turn", "call_id", "content")
-    key = ["conv_id", "call_id"]
+    key, named = ["conv_id", "call_id"], "conv_id IS NOT NULL AND call_id IS NOT NULL"
     pick = lambda df, *cols: df.groupBy(*key).agg(F.min(F.struct("turn", *cols)).alias("x"), F.count("*").alias("rows"))
-    first_c = pick(c.where("call_id IS NOT NULL"), "name", "arguments", "depends_on").select(*key, "x.*", F.col("rows").alias("call_rows"))
-    first_r = pick(r.where("call_id IS NOT NULL"), "content").select(*key, F.col("x.turn").alias("result_turn"), F.col("x.content").alias("content"), F.col("rows").alias("result_rows"))
+    first_c = pick(c.where(named), "name", "arguments", "depends_on").select(*key, "x.*", F.col("rows").alias("call_rows"))
+    first_r = pick(r.where(named), "content").select(*key, F.col("x.turn").alias("result_turn"), F.col("x.content").alias("content"), F.col("rows").alias("result_rows"))
     placed = first_c.join(stages(first_c), key)
     # The number of dependencies that are not known.
     on = first_c.select(*key, F.explode(F.array_distinct("depends_on")).alias("on"))
@@ -111,7 +111,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     parsed = "try_parse_json(arguments)"
     wrong = F.concat(
         problems(F.col("name"), parsed, schemas),
-        F.array_compact(F.array(F.when(F.col("lost") > 0, F.lit("depends_on: unknown call")), F.when(F.col("stage").isNull(), F.lit("depends_on: cycle")), F.when(F.col("result_turn").isNull(), F.lit("result: missing")), F.when(F.col("result_turn") <= F.col("turn"), F.lit("result: before its call")))),
+        F.array_compact(F.array(F.when(F.col("lost") > 0, F.lit("depends_on: unknown call")), F.when(F.col("stage").isNull(), F.lit("depends_on: cycle")), F.when(F.col("result_rows").isNull(), F.lit("result: missing")), F.when(F.col("result_turn") <= F.col("turn"), F.lit("result: before its call")))),
     )
     argument = F.coalesce(F.expr(f"to_json({parsed})"), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     text = lambda c: F.regexp_replace(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), r'^\{"x":|\}$', "")
@@ -121,7 +121,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     none = F.array().cast("array<string>")
     row = lambda turn, kind, stage, errors, line: F.struct(turn.alias("turn"), F.lit(kind).alias("kind"), stage.alias("stage"), errors.alias("errors"), line.alias("line"))
     null_stage = F.lit(None).cast("long")
-    is_call, is_result = F.col("turn").isNotNull(), F.col("result_turn").isNotNull()
+    is_call, is_result = F.col("call_rows").isNotNull(), F.col("result_rows").isNotNull()
     entries = F.array(
         F.when(is_call, row(F.col("turn"), "call", F.col("stage"), wrong, call_line)),
         F.when(is_call & is_result, row(F.col("result_turn"), "result", F.col("stage"), none, result_line("result"))),
@@ -140,9 +140,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
         again = extra.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
         return again.select("conv_id", "turn", "call_id", F.lit("repeat").alias("kind"), null_stage.alias("stage"), F.array(F.lit(f"{what}: repeated")).alias("errors"), (call_line if what == "call" else result_line("repeat")).alias("line"))
 
-    unnamed = r.where("call_id IS NULL").select("conv_id", "turn", "call_id", F.lit("orphan").alias("kind"), null_stage.alias("stage"), F.array(F.lit("call_id: missing")).alias("errors"), result_line("orphan").alias("line"))
-    nameless = c.where("call_id IS NULL").select("conv_id", "turn", "call_id", F.lit("call").alias("kind"), null_stage.alias("stage"), F.array(F.lit("call_id: missing")).alias("errors"), call_line.alias("line"))
-    rest = repeats(c.where("call_id IS NOT NULL"), ["name", "arguments", "depends_on"], "call").unionByName(repeats(r.where("call_id IS NOT NULL"), ["content"], "result"))
+    unnamed = r.where(f"NOT ({named})").select("conv_id", "turn", "call_id", F.lit("orphan").alias("kind"), null_stage.alias("stage"), F.array(F.lit("identifier: missing")).alias("errors"), result_line("orphan").alias("line"))
+    nameless = c.where(f"NOT ({named})").select("conv_id", "turn", "call_id", F.lit("call").alias("kind"), null_stage.alias("stage"), F.array(F.lit("identifier: missing")).alias("errors"), call_line.alias("line"))
+    rest = repeats(c.where(named), ["name", "arguments", "depends_on"], "call").unionByName(repeats(r.where(named), ["content"], "result"))
     return out.unionByName(rest).unionByName(unnamed).unionByName(nameless)
 
 

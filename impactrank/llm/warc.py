@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     a task that was lost are not referred to.
     """
     spark = prepare(pages.sparkSession)
-    p = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    p = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     kept = p.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
     linked = p.join(kept, "sha", "left").select("page", "url", "html", F.when((F.col("keeper") != F.col("page")) & (F.octet_length("html") >= min_bytes), F.col("keeper")).alias("other"))
 
@@ -243,7 +243,7 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, payload: bool = Tru
     One row per input row: page_id, payload_bytes and payload_digest (of the full
     payload), record_type, refers_to (null for responses), target_uri, payload (null
     for revisits).  Null html is an empty payload, a null URL is about:blank.  Of repeated
-    rows with the largest id all are responses.  An empty table gives an empty result.
+    rows with the largest id all are responses; rows without an id are left out.  An empty table gives an empty result.
     """
     folder = shared_dir(prepare(pages.sparkSession))
     return read_archives(write_index(write_archives(pages, folder, min_bytes, **columns), folder), folder, payload)
