@@ -32,7 +32,7 @@ def containment_qrels(docs: DataFrame, items: DataFrame, labels: DataFrame) -> D
     # A gram inside the item is free of what precedes or follows it in the document.
     q = spaced(items, "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), gram(F.lit(3)).alias("gram"))
     d = spaced(docs, "doc_id").select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, 4))))).alias("gram"))
-    hit = d.join(F.broadcast(q), "gram").where(F.contains("body", "item")).select("query_id", "doc_id").distinct()
+    hit = d.join(q, "gram").where(F.contains("body", "item")).select("query_id", "doc_id").distinct()
     return hit.join(labels.select("doc_id", "quality"), "doc_id", "left").select("query_id", "doc_id", (F.lit(1) + F.coalesce("quality", F.lit(0))).cast("int").alias("relevance"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +119,6 @@ def read_sweep(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ordinal_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """(ordinal, value): ids numbered from 0 in their own order."""
-    w = Window.orderBy(id_col)
-    return df.select(id_col).distinct().select((F.row_number().over(w) - 1).cast("long").alias("ordinal"), F.col(id_col).cast("string").alias("value"))
+    """(ordinal, value): distinct ids numbered from 0 in their own order, sorted by range over all tasks."""
+    numbered = df.select(id_col).distinct().orderBy(id_col).rdd.zipWithIndex().map(lambda x: (x[1], str(x[0][0])))
+    return df.sparkSession.createDataFrame(numbered, "ordinal BIGINT, value STRING")

@@ -64,6 +64,11 @@ def test_convert(spark):
     assert text.conversion_stats(v, v.where("weight > 4")).first()["removed"] == 2
 
 
+def test_ordinals(spark):
+    ids = spark.createDataFrame([(7,), (3,), (7,), (11,)], "doc_id BIGINT")
+    assert sorted(map(tuple, text.ordinal_ids(ids, "doc_id").collect())) == [(0, "3"), (1, "7"), (2, "11")]
+
+
 def test_distances(spark):
     a = spark.createDataFrame([(1, 0, 3), (1, 1, 4)], "x BIGINT, term INT, weight INT")
     b = spark.createDataFrame([(2, 1, 4), (2, 2, 2)], "y BIGINT, term INT, weight INT")
