@@ -23,21 +23,30 @@ def cosine(a: DataFrame, b: DataFrame, a_id: str, b_id: str, term: str = "term")
     return pair.select(a_id, b_id, F.when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
-def _aligned(a: DataFrame, b: DataFrame, pairs: DataFrame, a_id: str, b_id: str, term: str) -> DataFrame:
-    """Difference per pair and term, over the union of both vectors' terms."""
-    left = pairs.join(a.select(a_id, term, F.col("weight").cast("long").alias("d")), a_id)
-    right = pairs.join(b.select(b_id, term, (-F.col("weight")).cast("long").alias("d")), b_id)
-    return left.select(a_id, b_id, term, "d").unionByName(right.select(a_id, b_id, term, "d")).groupBy(a_id, b_id, term).agg(F.sum("d").alias("d"))
+def _over_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, a_id: str, b_id: str, term: str, own, common) -> DataFrame:
+    """Sum of ``own`` over both vectors plus the sum of ``common`` over terms they share, as ``d``.
+
+    Only shared terms are joined; what a vector contributes alone is summed once per vector.
+    """
+    w = lambda c: F.col(c).cast("long")
+    x, y = a.select(a_id, term, w("weight").alias("wa")), b.select(b_id, term, w("weight").alias("wb"))
+    shared = x.join(y, term).groupBy(a_id, b_id).agg(F.sum(common(F.col("wa"), F.col("wb"))).alias("dc"))
+    alone = lambda v, i, name: v.groupBy(i).agg(F.sum(own(w("weight"))).alias(name))
+    out = pairs.select(a_id, b_id).distinct().join(shared, [a_id, b_id], "left").join(alone(a, a_id, "da"), a_id, "left").join(alone(b, b_id, "db"), b_id, "left")
+    zero = F.lit(0).cast("long")
+    return out.select(a_id, b_id, (F.coalesce("da", zero) + F.coalesce("db", zero) + F.coalesce("dc", zero)).alias("d"))
 
 
 def euclidean(a: DataFrame, b: DataFrame, pairs: DataFrame, a_id: str, b_id: str, term: str = "term") -> DataFrame:
-    """Euclidean distance of the given pairs (a union and one sum stand for the outer merge)."""
-    return _aligned(a, b, pairs, a_id, b_id, term).groupBy(a_id, b_id).agg(F.sqrt(F.sum(F.col("d") * F.col("d")).cast("double")).alias("euclidean"))
+    """Euclidean distance of the given pairs; exact for integer weights."""
+    d = _over_pairs(a, b, pairs, a_id, b_id, term, lambda w: w * w, lambda x, y: -2 * x * y)
+    return d.select(a_id, b_id, F.sqrt(F.col("d").cast("double")).alias("euclidean"))
 
 
 def manhattan(a: DataFrame, b: DataFrame, pairs: DataFrame, a_id: str, b_id: str, term: str = "term") -> DataFrame:
     """Sum of absolute differences of the given pairs."""
-    return _aligned(a, b, pairs, a_id, b_id, term).groupBy(a_id, b_id).agg(F.sum(F.abs("d")).alias("manhattan"))
+    d = _over_pairs(a, b, pairs, a_id, b_id, term, F.abs, lambda x, y: F.abs(x - y) - F.abs(x) - F.abs(y))
+    return d.select(a_id, b_id, F.col("d").alias("manhattan"))
 
 
 def dot_distance(dot_value: Column) -> Column:
