@@ -1,17 +1,14 @@
 """Benchmark items in documents, found up to edits.
 
-Items and texts are reduced to lower-case letters and digits with single spaces.  A
-window of an item's size is looked at where a byte gram at a word start is one of the
-item's own.  The window and the item are embedded by shared random walks (a step copies
-a symbol and moves on or not, by a random bit for step and symbol), which maps few
-edits to few differing symbols; repeated samples of the embedding, in tables of a
-few symbols each, must agree in one table.  The edit distance decides in the end.
-
-The tables are calibrated to keep at least ``recall`` of windows with half of the
-allowed share of scattered edits (simulated on the items).  Grams of 12 bytes are intact
-somewhere in nearly every item at that share; towards the full share of evenly
-scattered edits some items have none (measured: all at 5 %, 99 % at 10 %, 90 % at
-15 %, 63 % at 20 %).
+Items and texts are reduced to lower-case letters and digits with single spaces.  An
+item is cut into pieces so that a passage within the allowed edits holds at least one
+piece with one edit or none (there are too few edits for two in every piece), in any
+alignment and wherever the edits are.  Every window of a text is looked up with one of
+its bytes left out, among pieces with one byte left out, which finds such pieces
+whole.  Pieces are also grouped, two or three and then up to 64 bytes, so that a
+passage holds a piece all of whose groups are within their share of the edits; the edit
+distance of each group, for many windows at once, decides whether to go on.  The edit
+distance of the whole item decides in the end.  No step loses a passage.
 """
 
 from __future__ import annotations
@@ -25,13 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import prepare
-from ._text import pieces, prefix_hash, range_hash, row_of
+from ._text import pieces, row_of
 
-GRAM, WALKS, TABLES = 12, 4, 48
-#: Items in one pass over the documents; their tables are broadcast (a few KB each).
+#: Bytes of a window less one; they are compared as one number.
+WINDOW = 8
+#: Positions, and groups, worked on at once.
+STRETCH, LANES = 1 << 17, 1 << 13
+#: Items in one pass over the documents; their tables take a few KB each.
 ITEMS_PER_PASS = 20_000
-#: Fewer words tell nothing.
-LEAST_WORDS = 5
+#: Fewer bytes tell nothing.
+LEAST_WORDS, GRAM = 5, 12
 
 _KEEP = np.zeros(256, bool)
 _KEEP[48:58] = _KEEP[65:91] = _KEEP[97:123] = True
@@ -79,28 +79,6 @@ def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return text, bounds, place
 
 
-def word_starts(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    if not len(text):
-        return np.zeros(0, np.int64)
-    start = np.zeros(len(text), bool)
-    start[1:] = text[:-1] == 0x20
-    start[bounds[:-1][bounds[:-1] < len(text)]] = True
-    return np.flatnonzero(start)
-
-
-def walk(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Embedding of each row of a padded byte matrix: (steps, rows) symbols read by the walk."""
-    steps, (rows, width) = len(bits), windows.shape
-    out = np.empty((steps, rows), np.uint8)
-    flat, at = windows.ravel(), np.arange(rows) * width
-    end = at + width - 1
-    for j in range(steps):
-        symbol = flat[at]
-        out[j] = symbol
-        at = np.minimum(at + bits[j, symbol], end)
-    return out
-
-
 def edit_distance(item: bytes, region: bytes) -> tuple[int, int]:
     """Least number of edits from item to a substring of region, and where the substring ends (bit-parallel)."""
     m = len(item)
@@ -122,29 +100,57 @@ def edit_distance(item: bytes, region: bytes) -> tuple[int, int]:
     return best, end
 
 
+@dataclass
+class Scan:
+    """Pieces looked up in one way: whole (``size`` bytes), or windows of one byte more with each byte left out."""
+
+    size: int
+    edit: bool
+    keys: np.ndarray  # sorted
+    piece: np.ndarray
+    seen: np.ndarray  # whether a key has this hash
+
+
+@dataclass
+class Groups:
+    """Parts of items of at most as many bytes as a number has bits."""
+
+    at: np.ndarray  # in the item
+    size: np.ndarray
+    most: np.ndarray  # edits
+    equal: np.ndarray  # (groups, classes): bits where the group has a byte of the class
+    of: np.ndarray  # group of each piece
+
+
 @dataclass
 class Items:
-    """Reduced items with their grams, embeddings and sampled steps."""
+    """Reduced items with their pieces and groups."""
 
     ids: np.ndarray
     texts: list[bytes]
-    gram: np.ndarray  # sorted gram hashes
-    gram_item: np.ndarray
-    gram_at: np.ndarray
-    bits: np.ndarray  # (WALKS, steps, 256)
-    steps: np.ndarray  # (items, TABLES, symbols)
-    symbols: np.ndarray  # (items, TABLES, symbols)
+    piece_item: np.ndarray
+    piece_at: np.ndarray
+    scans: list[Scan]
+    levels: list[Groups]
+    classes: np.ndarray  # class of each byte; 0 for bytes of no item
     max_edits: float
 
 
-def padded(texts: list[bytes]) -> np.ndarray:
-    width = max(map(len, texts)) + 1
-    return np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
+def cut(size: int, edits: int) -> list[tuple[int, int, int]]:
+    """(start, compared bytes, edits) of the pieces of an item: more than ``edits`` edits if each had one above its own."""
+    if size // (edits + 1) >= WINDOW:
+        return [(i * size // (edits + 1), WINDOW, 0) for i in range(edits + 1)]
+    pairs, odd = divmod(edits + 1, 2)
+    if not pairs:
+        return [(0, size, 0)]
+    length = max(1, min(WINDOW + 1, 2 * size // (edits + 1)))
+    rest = max(min(WINDOW, size - length * pairs), 1) if odd else 0
+    length = min(length, (size - rest) // pairs)
+    return [(i * (size - rest) // pairs, length, 1) for i in range(pairs)] + ([(size - rest, rest, 0)] if odd else [])
 
 
-def build_items(ids: list[int], raw: list[str], max_edits: float, recall: float, seed: int = 11) -> Items | None:
+def build_items(ids: list[int], raw: list[str], max_edits: float) -> Items | None:
     """Index items; None if there is none of LEAST_WORDS words and GRAM bytes at least."""
-    rng = np.random.default_rng(seed)
     data = [(t or "").encode() for t in raw]
     off = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
     text, bounds, _ = normal(np.frombuffer(b"".join(data), np.uint8), off)
@@ -153,107 +159,159 @@ def build_items(ids: list[int], raw: list[str], max_edits: float, recall: float,
     if not keep:
         return None
     texts, numbers = [own[i] for i in keep], np.array([ids[i] for i in keep], np.int64)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    at = word_starts(flat, bounds)
-    item = row_of(bounds, at)
-    inside = at + GRAM <= bounds[item + 1]
-    at, item = at[inside], item[inside]
-    gram = range_hash(prefix_hash(flat), at, at + GRAM)
-    order = np.argsort(gram, kind="stable")
-    length = np.array([len(t) for t in texts])
-    total = 2 * int(length.max())
-    bits = rng.integers(0, 2, (WALKS, total, 256)).astype(np.int64)
-
-    def samples(count: int, size: np.ndarray) -> np.ndarray:
-        share = np.random.default_rng(seed + count).random((TABLES, count))
-        return np.floor(share[None] * 2 * size[:, None, None]).astype(np.int64)
-
-    def read(texts: list[bytes], steps: np.ndarray) -> np.ndarray:
-        matrix, rows = padded(texts), np.arange(len(texts))
-        out = np.empty(steps.shape, np.uint8)
-        for w in range(WALKS):
-            got = walk(matrix, bits[w])
-            mine = np.arange(w, TABLES, WALKS)
-            out[:, mine] = got[steps[:, mine], rows[:, None, None]]
-        return out
-
-    # Calibration: edited copies of items, as many edits as allowed; the most symbols a table that keep the recall.
-    tried = rng.integers(0, len(texts), 300)
-    copies = []
-    for i in tried:
-        t = bytearray(texts[i])
-        for _ in range(int(max_edits * len(t) / 2)):  # half of the allowed share, which is what windows cut by word mostly see
-            p, kind = int(rng.integers(0, len(t))), int(rng.integers(0, 3))
-            if kind == 0:
-                t[p] = int(rng.integers(97, 123))
-            elif kind == 1:
-                t.insert(p, int(rng.integers(97, 123)))
-            elif len(t) > 2:
-                del t[p]
-        copies.append(bytes(t[: len(texts[i])]))
-    for count in (6, 5, 4, 3, 2, 1):
-        steps = samples(count, length)
-        a, b = read([texts[i] for i in tried], steps[tried]), read(copies, steps[tried])
-        if (a == b).all(2).any(1).mean() >= recall or count == 1:
-            break
-    return Items(numbers, texts, gram[order], item[order], (at - bounds[item])[order], bits, steps, read(texts, steps), max_edits)
+    classes = np.zeros(256, np.uint8)
+    used = sorted(set(b"".join(texts)))
+    classes[used] = np.arange(1, len(used) + 1)
+    looked: dict[tuple[int, bool], list[tuple[int, int]]] = {}
+    piece_item, piece_at = [], []
+    made: list[list[tuple[bytes, int, int]]] = [[], []]  # text, start and edits of the groups of both levels
+    of: list[list[int]] = [[], []]
+    for i, t in enumerate(texts):
+        pieces_here = cut(len(t), int(max_edits * len(t)))
+        n = len(pieces_here)
+        small = max(1, n // 2)
+        large = max(1, min(small, -(-len(t) // 64)))
+        low = [x * small // n for x in range(n)]
+        for level, bits, group in ((0, 32, low), (1, 64, [g * large // small for g in low])):
+            for g in range(group[-1] + 1):
+                mine = [x for x in range(n) if group[x] == g]
+                start = pieces_here[mine[0]][0]
+                end = pieces_here[mine[-1] + 1][0] if mine[-1] + 1 < n else len(t)
+                made[level].append((t[start : min(end, start + bits)], start, sum(pieces_here[x][2] + 1 for x in mine) - 1))
+            of[level] += [len(made[level]) - group[-1] - 1 + g for g in group]
+        for start, length, edit in pieces_here:
+            p = t[start : start + length]
+            shorter = {p[:j] + p[j + 1 :] for j in range(length)} if edit else {p}
+            looked.setdefault((length - edit, bool(edit)), []).extend((int.from_bytes(x, "little"), len(piece_item)) for x in shorter)
+            piece_item.append(i)
+            piece_at.append(start)
+    scans = []
+    for (size, edit), pairs in sorted(looked.items()):
+        key, piece = np.array([k for k, _ in pairs], np.uint64), np.array([x for _, x in pairs], np.int64)
+        order = np.argsort(key, kind="stable")
+        seen = np.zeros(1 << min(24, max(16, len(key).bit_length() + 5)), bool)
+        seen[_slot(key, len(seen))] = True
+        scans.append(Scan(size, edit, key[order], piece[order], seen))
+    levels = []
+    for groups, piece_group, kind in zip(made, of, (np.uint32, np.uint64)):
+        equal = np.zeros((len(groups), len(used) + 1), kind)
+        for g, (t, _, _) in enumerate(groups):
+            for x, c in enumerate(t):
+                equal[g, classes[c]] |= kind(1 << x)
+        levels.append(Groups(np.array([x for _, x, _ in groups]), np.array([len(t) for t, _, _ in groups]), np.array([x for _, _, x in groups]), equal, np.array(piece_group)))
+    return Items(numbers, texts, np.array(piece_item), np.array(piece_at), scans, levels, classes, max_edits)
+
+
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def seeds(scan: Scan, words: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, piece) where a window equals a piece, from the numbers at each byte and the byte after."""
+    mask = [np.uint64((1 << 8 * j) - 1) for j in range(9)]
+    a, b = words & mask[scan.size], after & mask[scan.size]
+    differ = a ^ b
+    where, what = [], []
+    for j in range(1, scan.size + 1) if scan.edit else (scan.size,):  # without its first byte a window is the next one without its last
+        key = a if j == scan.size else b ^ (differ & mask[j])
+        at = np.flatnonzero(scan.seen[_slot(key, len(scan.seen))])
+        key = key[at]
+        first = np.searchsorted(scan.keys, key, "left")
+        same = scan.keys[np.minimum(first, len(scan.keys) - 1)] == key
+        at, first, key = at[same], first[same], key[same]
+        count = np.searchsorted(scan.keys, key, "right") - first
+        k = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        where.append(np.repeat(at, count))
+        what.append(scan.piece[k])
+    return np.concatenate(where), np.concatenate(what)
+
+
+def within(groups: Groups, group: np.ndarray, start: np.ndarray, slack: int, text: np.ndarray) -> np.ndarray:
+    """Whether a group has a substring within its edits in text about start; text is of classes, with 256 bytes before and after."""
+    kind, width = groups.equal.dtype.type, groups.equal.shape[1]
+    out = np.zeros(len(group), bool)
+    flat = groups.equal.ravel()
+    one = kind(1)
+    for s in range(0, len(group), LANES):
+        g = group[s : s + LANES]
+        size, most = groups.size[g], groups.most[g]
+        row, place = g * width, start[s : s + LANES] - most - slack + 256
+        last = (size - 1).astype(kind)
+        up, down = np.full(len(g), ~kind(0)), np.zeros(len(g), kind)
+        score = size.astype(np.int16)
+        best = score.copy()
+        for step in range(int((size + 2 * (most + slack)).max())):
+            eq = flat[row + text[place + step]]
+            x = (((eq & up) + up) ^ up) | eq | down
+            plus, minus = down | ~(x | up), up & x
+            score += ((plus >> last) & one).astype(np.int16)
+            score -= ((minus >> last) & one).astype(np.int16)
+            np.minimum(best, score, out=best)
+            plus, minus = plus << one, minus << one
+            carry = eq | down
+            up, down = minus | ~(carry | plus), plus & carry
+        out[s : s + LANES] = best <= most
+    return out
 
 
 def hits(items: Items, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item index, start, end, edits) in reduced text of each item found, the best place of each."""
-    at = word_starts(text, bounds)
-    row = row_of(bounds, at)
-    inside = at + GRAM <= bounds[row + 1]
-    at, row = at[inside], row[inside]
-    if not len(at):
+    n = len(text)
+    if not n:
+        return []
+    padded = np.concatenate([text, np.zeros(WINDOW + 1, np.uint8)])
+    classed = np.concatenate([np.zeros(256, np.uint8), items.classes[text], np.zeros(512, np.uint8)])
+    found = []
+    for a in range(0, n, STRETCH):
+        size = min(STRETCH, n - a)
+        words = np.ndarray((size + 1,), "<u8", padded, a, (1,)).copy()
+        for scan in items.scans:
+            at, piece = seeds(scan, words[:-1], words[1:])
+            if not len(at):
+                continue
+            code = np.unique(piece * (STRETCH // 2) + at // 2)  # one for two neighbouring windows
+            piece, at = code // (STRETCH // 2), code % (STRETCH // 2) * 2 + a
+            for level in items.levels:
+                near = within(level, level.of[piece], at - items.piece_at[piece] + level.at[level.of[piece]], 3, classed)
+                piece, at = piece[near], at[near]
+            found.append((row_of(bounds, np.minimum(at + 1, n - 1)), items.piece_item[piece], at - items.piece_at[piece]))
+    if not found:
         return []
-    gram = range_hash(prefix_hash(text), at, at + GRAM)
-    first = np.searchsorted(items.gram, gram, "left")
-    count = np.searchsorted(items.gram, gram, "right") - first
-    some = np.flatnonzero(count)
-    who = np.repeat(some, count[some])
-    k = np.repeat(first[some], count[some]) + np.arange(len(who)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-    item, start = items.gram_item[k], at[who] - items.gram_at[k]
-    row = row[who]
-    # One window for neighbouring alignments; half their grid is within the edits allowed.
-    _, pick = np.unique(np.stack([row, item, start // 8]), axis=1, return_index=True)
-    row, item, start = row[pick], item[pick], start[pick]
-    size = np.array([len(t) for t in items.texts])[item]
-    padded_text = np.concatenate([text, np.zeros(1, np.uint8)])
-    keep = np.zeros(len(row), bool)
-    for a in range(0, len(row), 4096):
-        s = slice(a, a + 4096)
-        width = int(size[s].max()) + 1
-        place = start[s, None] + np.arange(width)
-        bad = (place < bounds[row[s], None]) | (place >= bounds[row[s] + 1, None]) | (np.arange(width) >= size[s, None])
-        matrix = np.where(bad, 0, padded_text[np.clip(place, 0, len(text))]).astype(np.uint8)
-        near = np.zeros(len(matrix), bool)
-        index = np.arange(len(matrix))
-        for w in range(WALKS):
-            got = walk(matrix, items.bits[w][: 2 * (width - 1)])
-            mine = np.arange(w, TABLES, WALKS)
-            near |= (got[items.steps[item[s]][:, mine], index[:, None, None]] == items.symbols[item[s]][:, mine]).all(2).any(1)
-        keep[s] = near
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for r, i, p in sorted(zip(row[keep].tolist(), item[keep].tolist(), start[keep].tolist())):
-        if best.get((r, i), (0, 0, 1))[2] == 0:
-            continue
-        word, slack = items.texts[i], int(items.max_edits * len(items.texts[i])) + 8
-        low, high = max(int(bounds[r]), p - slack), min(int(bounds[r + 1]), p + len(word) + slack)
-        region = text[low:high].tobytes()
-        found = region.find(word)
-        edits, end = (0, found + len(word)) if found >= 0 else edit_distance(word, region)
-        if edits <= items.max_edits * len(word) and edits < best.get((r, i), (0, 0, len(word) + 1))[2]:
-            best[r, i] = (max(low, low + end - len(word)), low + end, edits)
-    return [(r, i, *v) for (r, i), v in best.items()]
+    places: dict[tuple[int, int], list[int]] = {}
+    for r, i, p in zip(*(np.concatenate(x).tolist() for x in zip(*found))):
+        places.setdefault((r, i), []).append(p)
+    best = []
+    for (r, i), starts in sorted(places.items()):
+        word = items.texts[i]
+        most = int(items.max_edits * len(word))
+        least, begin, stop = most + 1, 0, 0
+        first = int(bounds[r])
+        end = int(bounds[r + 1])
+        stretches: list[list[int]] = []
+        for p in sorted(set(starts)):
+            low, high = max(first, p - most - 3), min(end, p + len(word) + most + 3)
+            if stretches and low <= stretches[-1][1]:
+                stretches[-1][1] = max(high, stretches[-1][1])
+            else:
+                stretches.append([low, high])
+        for low, high in stretches:
+            region = text[low:high].tobytes()
+            place = region.find(word)
+            edits, last = (0, place + len(word)) if place >= 0 else edit_distance(word, region)
+            if edits < least:
+                least, begin, stop = edits, max(low, low + last - len(word)), low + last
+            if not edits:
+                break
+        if least <= most:
+            best.append((r, i, begin, stop, least))
+    return best
 
 
 def find_items(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per input row: contaminated, n_items, item_ids (ascending), similarity (of the best, 0 if none) and hits.
 
     An item is found where a substring is within ``max_edits`` edits a byte of the
-    item's length.  ``hits`` holds item, byte start and end in the text, and edits, for the
+    item's length; all are found, whatever ``recall`` asks for.  ``hits`` holds item, byte start and end in the text, and edits, for the
     best place of each item.  Items of fewer than five words, null texts and empty
     tables find nothing.  Repeated rows each have a row; other columns are left out.
     No shuffle in one pass; items beyond ITEMS_PER_PASS take further passes, whose rows are
@@ -266,7 +324,7 @@ def find_items(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall
     out = None
     for number in range(passes):
         block = known.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == number).orderBy("i", "t").toArrow()  # about ITEMS_PER_PASS rows
-        sent = spark.sparkContext.broadcast(build_items(block.column(0).to_pylist(), block.column(1).to_pylist(), max_edits, recall))
+        sent = spark.sparkContext.broadcast(build_items(block.column(0).to_pylist(), block.column(1).to_pylist(), max_edits))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value

@@ -149,6 +149,30 @@ def test_items_are_found_up_to_edits(spark):
     assert not any(r["contaminated"] for r in decontaminate.find_items(frame(spark, texts[:3]), bench.where("false")).collect())
 
 
+def edited(rng, text, share, even):
+    """ASCII text with as many edits as the share allows, evenly spaced or anywhere."""
+    t, n = list(text), int(share * len(text))
+    for p in sorted((int((i + 0.5) * len(t) / n) for i in range(n)) if even else rng.choice(len(t), n, replace=False), reverse=True):
+        kind = int(rng.integers(0, 3))
+        t[p : p + 1] = [[str(rng.choice(list("bdghjk")))], [t[p], str(rng.choice(list("bdghjk")))], []][kind]
+    return "".join(t)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.1, 0.03])
+def test_items_at_the_allowed_edits_equal_brute_force(share):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("aeinorst"), rng.integers(2, 7))) for _ in range(60)]
+    words = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [words(n) for n in list(range(5, 60, 2)) * 2]
+    texts = [f"{words(8)} {edited(rng, t, share, even)} {words(8)}" for t in items for even in (True, False)]
+    index = decontaminate.build_items(list(range(len(items))), items, share)
+    text, bounds, _ = decontaminate.normal(*flat(pa.array(texts)))
+    got = {(r, i): e for r, i, _, _, e in decontaminate.hits(index, text, bounds)}
+    rows = [text[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    true = {(r, i): e for r, t in enumerate(rows) for i, x in enumerate(index.texts) if (e := decontaminate.edit_distance(x, t)[0]) <= share * len(x)}
+    assert got == true and len(true) > len(items)
+
+
 def test_plan_places_every_piece_once():
     rng = np.random.default_rng(5)
     for n in (0, 1, 7, 400, 30_000):
