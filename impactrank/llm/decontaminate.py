@@ -27,11 +27,11 @@ from ._text import pieces, row_of
 #: Bytes of a window less one; they are compared as one number.
 WINDOW = 8
 #: Positions, and groups, worked on at once.
-STRETCH, LANES = 1 << 17, 1 << 13
+STRETCH, LANES = 1 << 17, 1 << 14
 #: Items in one pass over the documents; their tables take a few KB each.
 ITEMS_PER_PASS = 20_000
-#: Fewer bytes tell nothing.
-LEAST_WORDS, GRAM = 5, 12
+#: Fewer bytes of reduced text tell nothing.
+LEAST_BYTES = 10
 
 _KEEP = np.zeros(256, bool)
 _KEEP[48:58] = _KEEP[65:91] = _KEEP[97:123] = True
@@ -44,14 +44,14 @@ def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Reduced text on end, row offsets in it, and each byte's place in the original.
 
     Every row begins and ends without a space; general punctuation beyond ASCII (U+2000
-    to U+206F, U+00A0 to U+00BF) separates like ASCII punctuation.
+    to U+206F, U+3000 to U+303F, U+00A0 to U+00BF) separates like ASCII punctuation.
     """
     if not len(data):
         return data, off * 0, np.zeros(0, np.int64)
     keep = _KEEP[data]
     nxt = np.append(data[1:], 0)
     sign = (data == 0xC2) & (nxt >= 0xA0) & (nxt <= 0xBF)
-    wide = (data[:-2] == 0xE2) & (data[1:-1] == 0x80) | (data[:-2] == 0xE2) & (data[1:-1] == 0x81) & (data[2:] <= 0xAF) if len(data) > 2 else np.zeros(0, bool)
+    wide = (data[:-2] == 0xE2) & (data[1:-1] == 0x80) | (data[:-2] == 0xE2) & (data[1:-1] == 0x81) & (data[2:] <= 0xAF) | (data[:-2] == 0xE3) & (data[1:-1] == 0x80) if len(data) > 2 else np.zeros(0, bool)
     at = np.flatnonzero(sign)
     keep[at] = keep[at + 1] = False
     at = np.flatnonzero(wide)
@@ -150,12 +150,12 @@ def cut(size: int, edits: int) -> list[tuple[int, int, int]]:
 
 
 def build_items(ids: list[int], raw: list[str], max_edits: float) -> Items | None:
-    """Index items; None if there is none of LEAST_WORDS words and GRAM bytes at least."""
+    """Index items; None if there is none of LEAST_BYTES reduced bytes at least."""
     data = [(t or "").encode() for t in raw]
     off = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
     text, bounds, _ = normal(np.frombuffer(b"".join(data), np.uint8), off)
     own = [text[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-    keep = [i for i, t in enumerate(own) if t.count(b" ") + 1 >= LEAST_WORDS and len(t) >= GRAM]
+    keep = [i for i, t in enumerate(own) if len(t) >= LEAST_BYTES]
     if not keep:
         return None
     texts, numbers = [own[i] for i in keep], np.array([ids[i] for i in keep], np.int64)
@@ -173,16 +173,16 @@ def build_items(ids: list[int], raw: list[str], max_edits: float) -> Items | Non
         large = max(1, min(small, -(-len(t) // 64)))
         low = [x * small // n for x in range(n)]
         for level, bits, group in ((0, 32, low), (1, 64, [g * large // small for g in low])):
-            for g in range(group[-1] + 1):
-                mine = [x for x in range(n) if group[x] == g]
-                start = pieces_here[mine[0]][0]
-                end = pieces_here[mine[-1] + 1][0] if mine[-1] + 1 < n else len(t)
-                made[level].append((t[start : min(end, start + bits)], start, sum(pieces_here[x][2] + 1 for x in mine) - 1))
+            first = np.searchsorted(group, np.arange(group[-1] + 2)).tolist()
+            for a, b in zip(first[:-1], first[1:]):
+                start, end = pieces_here[a][0], pieces_here[b][0] if b < n else len(t)
+                made[level].append((t[start : min(end, start + bits)], start, sum(edit + 1 for _, _, edit in pieces_here[a:b]) - 1))
             of[level] += [len(made[level]) - group[-1] - 1 + g for g in group]
+        spread = {length - 1 for _, length, edit in pieces_here if edit}
         for start, length, edit in pieces_here:
             p = t[start : start + length]
             shorter = {p[:j] + p[j + 1 :] for j in range(length)} if edit else {p}
-            looked.setdefault((length - edit, bool(edit)), []).extend((int.from_bytes(x, "little"), len(piece_item)) for x in shorter)
+            looked.setdefault((length - edit, length - edit in spread), []).extend((int.from_bytes(x, "little"), len(piece_item)) for x in shorter)
             piece_item.append(i)
             piece_at.append(start)
     scans = []
@@ -203,7 +203,7 @@ def build_items(ids: list[int], raw: list[str], max_edits: float) -> Items | Non
 
 
 def _slot(key: np.ndarray, size: int) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).view(np.int64)
 
 
 def seeds(scan: Scan, words: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,11 +236,13 @@ def within(groups: Groups, group: np.ndarray, start: np.ndarray, slack: int, tex
         g = group[s : s + LANES]
         size, most = groups.size[g], groups.most[g]
         row, place = g * width, start[s : s + LANES] - most - slack + 256
+        steps = int((size + 2 * (most + slack)).max())
+        place = np.clip(place, 0, len(text) - steps)  # beyond the padding there is no passage
         last = (size - 1).astype(kind)
         up, down = np.full(len(g), ~kind(0)), np.zeros(len(g), kind)
         score = size.astype(np.int16)
         best = score.copy()
-        for step in range(int((size + 2 * (most + slack)).max())):
+        for step in range(steps):
             eq = flat[row + text[place + step]]
             x = (((eq & up) + up) ^ up) | eq | down
             plus, minus = down | ~(x | up), up & x
@@ -312,8 +314,8 @@ def find_items(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall
 
     An item is found where a substring is within ``max_edits`` edits a byte of the
     item's length; all are found, whatever ``recall`` asks for.  ``hits`` holds item, byte start and end in the text, and edits, for the
-    best place of each item.  Items of fewer than five words, null texts and empty
-    tables find nothing.  Repeated rows each have a row; other columns are left out.
+    best place of each item.  Items of fewer than ten bytes of reduced text (in any
+    script, with or without spaces), null texts and empty tables find nothing.  Repeated rows each have a row; other columns are left out.
     No shuffle in one pass; items beyond ITEMS_PER_PASS take further passes, whose rows are
     joined by a row number.
     """

@@ -173,6 +173,27 @@ def test_items_at_the_allowed_edits_equal_brute_force(share):
     assert got == true and len(true) > len(items)
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    rng = np.random.default_rng(9)
+    signs = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9F00, n)))
+    thai = "การทดสอบภาษาไทยโดยไม่มีช่องว่างระหว่างคำ"
+    items = ["capital of france", "antarctica", signs(40), signs(6), thai, "\u300c" + signs(10) + "\u3002" + signs(10)]
+    changed = items[2][:9] + signs(1) + items[2][10:25] + items[2][26:]
+    texts = ["Is the Capital, of France ...", "in Antarctica!", signs(30) + items[2] + signs(30), signs(300) + changed, signs(9) + items[3] + signs(9), "ก" * 20 + thai + "ก" * 20, items[5].replace("\u3002", " ")[1:], signs(500)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id BIGINT, text STRING")
+    out = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_items(frame(spark, texts), bench).collect()}
+    assert [out[i] for i in range(8)] == [[0], [1], [2], [2], [3], [4], [5], []]
+
+
+def test_long_items_with_few_edits():
+    rng = np.random.default_rng(10)
+    items = [" ".join("".join(rng.choice(list("aeinorst"), 6)) for _ in range(n)) for n in (60, 400, 900)]
+    texts = [t[:3] + "x" + t[4:] for t in items] + [items[1][1500:], "a" + items[2] + "b", items[0][400:]]
+    index = decontaminate.build_items([0, 1, 2], items, 0.002)
+    text, bounds, _ = decontaminate.normal(*flat(pa.array(texts)))
+    assert [(r, i, e) for r, i, _, _, e in decontaminate.hits(index, text, bounds)] == [(1, 1, 1), (2, 2, 1), (4, 2, 0)]
+
+
 def test_plan_places_every_piece_once():
     rng = np.random.default_rng(5)
     for n in (0, 1, 7, 400, 30_000):
