@@ -67,6 +67,25 @@ def test_join_equals_brute_force(spark, monkeypatch, n, percent, short):
     assert [out[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_links_equal_brute_force(spark, n, percent):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    copies = []
+    for i in range(jaccard_join.ALIKE + 40):  # one list longer than ALIKE, all near its pivot
+        w = list(base)
+        w[rng.randrange(150)] = f"x{i}"
+        copies.append(" ".join(w))
+    texts = copies + [t for t in near_copies(n) if t is None or t.isascii()]
+    sets = gram_sets(texts, n)
+    first = [min(j for j in range(len(sets)) if sets[j] == s) for s in sets]
+    classes = sorted({i for i in first if sets[i]})
+    want = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(classes, 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    out = jaccard_join.jaccard_links(frame(spark, texts), n, percent).collect()
+    assert len(out) == len(want) > 1000 and {(r["a"], r["b"]): r["common"] for r in out} == want
+    assert all(r["similarity"] == pytest.approx(len(sets[r["a"]] & sets[r["b"]]) / len(sets[r["a"]] | sets[r["b"]])) for r in out)
+
+
 def test_join_edges(spark):
     df = frame(spark, ["a b c d", "a b c d"])
     again = jaccard_join.jaccard_components(df.unionByName(df)).collect()
