@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import prepare
+from ._spark import prepare, shared_dir, write_table
 from ._text import pieces, row_of
 
 #: Bytes of a window less one; they are compared as one number.
@@ -316,13 +316,16 @@ def find_items(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall
     item's length; all are found, whatever ``recall`` asks for.  ``hits`` holds item, byte start and end in the text, and edits, for the
     best place of each item.  Items of fewer than ten bytes of reduced text (in any
     script, with or without spaces), null texts and empty tables find nothing.  Repeated rows each have a row; other columns are left out.
-    No shuffle in one pass; items beyond ITEMS_PER_PASS take further passes, whose rows are
-    joined by a row number.
+    No shuffle in one pass; items beyond ITEMS_PER_PASS take further passes over the rows,
+    which are numbered and stored first, and results are joined by that number.
     """
     spark = prepare(docs.sparkSession)
     known = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     passes = max(1, -(-known.count() // ITEMS_PER_PASS))
-    schema = f"{id_col} long, contaminated boolean, n_items long, item_ids array<long>, similarity double, hits array<struct<item_id: long, start: long, end: long, edits: long>>"
+    rows = docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id() if passes > 1 else F.lit(0).cast("long"))
+    if passes > 1:  # stored, so that every pass sees the same numbers
+        rows = write_table(rows, shared_dir(spark), "rows")
+    schema = f"_row long, {id_col} long, contaminated boolean, n_items long, item_ids array<long>, similarity double, hits array<struct<item_id: long, start: long, end: long, edits: long>>"
     out = None
     for number in range(passes):
         block = known.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == number).orderBy("i", "t").toArrow()  # about ITEMS_PER_PASS rows
@@ -342,12 +345,13 @@ def find_items(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall
                             best[r] = max(best[r], 1 - edits / len(index.texts[i]))
                     ids = [sorted({h["item_id"] for h in x}) for x in rows]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(id_col).cast(pa.int64()), pa.array([bool(x) for x in ids]), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array([sorted(x, key=lambda h: (h["item_id"], h["start"])) for x in rows], pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start", "end", "edits")])))],
-                        [id_col, "contaminated", "n_items", "item_ids", "similarity", "hits"],
+                        [part.column("_row"), part.column(id_col).cast(pa.int64()), pa.array([bool(x) for x in ids]), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array([sorted(x, key=lambda h: (h["item_id"], h["start"])) for x in rows], pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start", "end", "edits")])))],
+                        ["_row", id_col, "contaminated", "n_items", "item_ids", "similarity", "hits"],
                     )
 
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    if passes == 1:
-        return out
-    return out.groupBy(id_col).agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("similarity").alias("similarity"), F.flatten(F.collect_list("hits")).alias("hits"))
+    if passes > 1:
+        hits_in_order = F.array_sort(F.flatten(F.collect_list("hits")))
+        out = out.groupBy("_row").agg(F.first(id_col).alias(id_col), F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("similarity").alias("similarity"), hits_in_order.alias("hits"))
+    return out.drop("_row")

@@ -185,6 +185,18 @@ def test_short_items_and_scripts_without_spaces(spark):
     assert [out[i] for i in range(8)] == [[0], [1], [2], [2], [3], [4], [5], []]
 
 
+def test_many_passes_give_the_rows_of_one(spark, monkeypatch):
+    items = [f"question number {w} about the river {w}" for w in ("amber", "birch", "cedar", "delta", "ebony", "fjord")]
+    texts = [items[0], items[1] + " and " + items[2], None, "nothing of them"]
+    docs = spark.createDataFrame([(i, t) for i in (7, 7, None, 8) for t in texts], "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id BIGINT, text STRING")
+    one = sorted(decontaminate.find_items(docs, bench, max_edits=0.05).collect(), key=repr)
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 2)
+    many = decontaminate.find_items(docs, bench, max_edits=0.05)
+    assert sorted(many.collect(), key=repr) == one and len(one) == 16
+    assert many.columns == ["doc_id", "contaminated", "n_items", "item_ids", "similarity", "hits"]
+
+
 def test_long_items_with_few_edits():
     rng = np.random.default_rng(10)
     items = [" ".join("".join(rng.choice(list("aeinorst"), 6)) for _ in range(n)) for n in (60, 400, 900)]
