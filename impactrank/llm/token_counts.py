@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,6 +25,14 @@ def counter(model: bytes) -> PieceCounter:
     return _counters[key]
 
 
+def _each_prefix(lib, text: str) -> list[int]:
+    """Tokens of every prefix of one character or more, about a million characters of prefixes at once."""
+    out, step = [], max(1, 1_000_000 // max(len(text), 1))
+    for first in range(1, len(text) + 1, step):
+        out += [len(x) for x in lib.encode([text[:p] for p in range(first, min(first + step, len(text) + 1))])]
+    return out
+
+
 class PrefixTable:
     """Exact token count at every prefix of one text, for a sentencepiece BPE model.
 
@@ -41,7 +49,7 @@ class PrefixTable:
         text = text or ""
         lib = counter(model).library
         if not counter(model).splits or "▁" in text or "\0" in text:
-            self.count = [len(x) for x in lib.encode([text[:p] for p in range(len(text) + 1)])]
+            self.count = [0, *_each_prefix(lib, text)]
             return
         self.count, before, at = [0], 0, 0
         while at < len(text):
@@ -55,8 +63,7 @@ class PrefixTable:
             key = (hash(model), segment if at == 0 else "\1" + segment)
             inside = self._seen.get(key)
             if inside is None:
-                own = [segment[:p] for p in range(1, len(segment) + 1)]
-                inside = [len(x) for x in lib.encode(own)] if own else []
+                inside = _each_prefix(lib, segment)
                 if at:
                     inside = [1, *inside]
                 if len(self._seen) > 100_000:
@@ -73,15 +80,27 @@ class PrefixTable:
         """The longest prefix, in characters, of at most ``budget`` tokens."""
         return max(p for p, c in enumerate(self.count) if c <= budget)
 
+    def runs(self, text: str) -> tuple[list[int], list[int]]:
+        """(byte ends, tokens) of the runs of neighbouring prefixes, from one character on, with equal counts."""
+        last = [p for p in range(1, len(self.count)) if p + 1 == len(self.count) or self.count[p + 1] != self.count[p]]
+        ends, size, before = [], 0, 0
+        for p in last:
+            size += len(text[before:p].encode())
+            before = p
+            ends.append(size)
+        return ends, [self.count[p] for p in last]
+
 
 def prefix_totals(docs: DataFrame, model_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", keep_prefixes: bool = False) -> DataFrame:
     """One row per input row: bytes, tokens, and whether the tokens exceed ``limit``.
 
     Tokens are those of the sentencepiece library without begin or end marks; null
     and empty texts have none.  ``over_limit`` is read off the table of prefix
-    totals.  With ``keep_prefixes`` two more columns store that table: ``prefix_end``
-    (byte ends of segments) and ``prefix_tokens`` (tokens up to each), from which
-    truncation and budget questions are answered by binary search (``fits``).
+    totals.  With ``keep_prefixes`` two more columns store the count at every prefix, in
+    runs of prefixes with equal counts: ``prefix_end`` (byte end of the last of each run)
+    and ``prefix_tokens``, from which truncation (``tokens_at``) and budget questions
+    (``fits``) are answered exactly.  Filling them takes time with the square of the
+    longest stretch of text without a space.
     Repeated rows each have their own row; columns besides id and text are left out,
     so their names cannot clash.  Memory is bounded by the longest text; no shuffle.
     """
@@ -104,8 +123,9 @@ def prefix_totals(docs: DataFrame, model_path: str, limit: int, id_col: str = "d
                 out = [part.column(id_col).cast(pa.int64()), pa.array(np.diff(off)), pa.array(last), pa.array(over)]
                 names = [id_col, "n_bytes", "n_tokens", "over_limit"]
                 if keep_prefixes:
-                    o = pa.array(bounds.astype(np.int32))
-                    out += [pa.ListArray.from_arrays(o, pa.array(stop.astype(np.int64))), pa.ListArray.from_arrays(o, pa.array(total.astype(np.int64)))]
+                    texts = [t or "" for t in part.column(text_col).to_pylist()]
+                    runs = [PrefixTable(t, model.value).runs(t) for t in texts]
+                    out += [pa.array([r[k] for r in runs], pa.list_(pa.int64())) for k in (0, 1)]
                     names += ["prefix_end", "prefix_tokens"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
@@ -113,6 +133,10 @@ def prefix_totals(docs: DataFrame, model_path: str, limit: int, id_col: str = "d
 
 
 def fits(prefix_end: list[int], prefix_tokens: list[int], budget: int) -> int:
-    """The last stored byte end whose prefix has at most ``budget`` tokens (0: none)."""
-    k = bisect_right(prefix_tokens, budget)
-    return prefix_end[k - 1] if k else 0
+    """The byte end of the longest prefix of whole characters of at most ``budget`` tokens (0: none); counts can fall, so the last one is sought."""
+    return next((e for e, c in zip(reversed(prefix_end), reversed(prefix_tokens)) if c <= budget), 0)
+
+
+def tokens_at(prefix_end: list[int], prefix_tokens: list[int], end: int) -> int:
+    """Tokens of the prefix of ``end`` bytes, which end with a character."""
+    return prefix_tokens[bisect_left(prefix_end, end)] if end else 0

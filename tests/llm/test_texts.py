@@ -48,6 +48,18 @@ def test_prefix_table_answers_every_prefix():
             assert table.longest_within(budget) == max(p for p, c in enumerate(want) if c <= budget)
 
 
+def test_stored_prefixes_answer_every_prefix(spark):
+    lib = token_counts.counter(Path(PIECES).read_bytes()).library
+    texts = ["QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 4, "日本語の文章には空白がない" * 3, "one two  three ", "x▁y", None, ""]
+    for r in token_counts.prefix_totals(frame(spark, texts), PIECES, limit=9, keep_prefixes=True).collect():
+        t = texts[r["doc_id"]] or ""
+        ends = [len(t[:p].encode()) for p in range(len(t) + 1)]
+        want = [len(lib.encode(t[:p])) for p in range(len(t) + 1)]
+        table = r["prefix_end"], r["prefix_tokens"]
+        assert [token_counts.tokens_at(*table, e) for e in ends] == want and r["n_tokens"] == want[-1]
+        assert all(token_counts.fits(*table, b) == max(e for e, c in zip(ends, want) if c <= b) for b in range(max(want) + 2))
+
+
 def test_token_counts(spark):
     df = frame(spark, ["one two three", None, "", "w " * 5000], n_tokens="x", over_limit="y")
     df = df.unionByName(df.where("doc_id = 0"))
