@@ -11,13 +11,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._text import BATCH_ROWS
+from ._text import BATCH_ROWS, CHUNK_BYTES
 
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable on executors and bound Arrow batches.
+    """Make this package importable on executors and bound Arrow batches in rows and bytes.
 
     The package goes through Spark's own file server, once per application.
     """
@@ -34,6 +34,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _shipped.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
     return spark
 
 
