@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .functions import distance, quantize
+from .functions import distance, quantize, vectors
 from .operators import analyze, cluster, index, metrics, prune, search, topk
 from .operators.prune import QueryPrune, VectorPrune
 from .operators.search import SearchConfig
 from .plans import experiments
-from .plans.blockmax import blockmax_search
+from .plans.blockmax import block_maxima, blockmax_search, blockmax_sweep
 from .sources import text
 
 K, POOL, SMALL_WINDOW = 10, 50, 100
@@ -251,7 +251,40 @@ def search_max_windows(s: SparkSession, d: str) -> DataFrame:
 
 @_add("search_block_max", _with(D, Q, f"s1 AS ({_score('d', 'q')})", out=_best("s1", K)))
 def search_block_max(s: SparkSession, d: str) -> DataFrame:
-    return blockmax_search(_plain_index(s, d), held(s, d, "queries_a"), K)
+    ix = _plain_index(s, d)
+    return blockmax_search(ix, held(s, d, "queries_a"), K, maxima=_held_maxima(s, d, ix))
+
+
+def _held_maxima(s: SparkSession, d: str, ix: index.Index) -> DataFrame:
+    """Block maxima belong to the index: made once per session."""
+    key = (s.sparkContext.applicationId, d, "block_maxima")
+    if key not in _held:
+        _held[key] = block_maxima(ix).persist()
+    return _held[key]
+
+
+#: (alpha, beta, k) of the registered sweep.
+SWEEP = ((1.0, 1.0, 10), (0.9, 1.0, 10), (0.7, 0.5, 5))
+
+
+def _sweep_sql() -> str:
+    each = []
+    for i, (a, beta, k) in enumerate(SWEEP):
+        share = f"SELECT query_id, term, weight FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS rn FROM q WHERE weight > 0) WHERE rn <= ceil(n * CAST({beta} AS DOUBLE))"
+        bound = f"SELECT query_id, block_id, sum(w.weight * greatest(top, 0)) AS bound FROM mx JOIN q{i} w USING (term) GROUP BY ALL"
+        seed = f"SELECT query_id, block_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, block_id) AS rn FROM bd{i}) WHERE rn <= {k}"
+        score = "SELECT w.query_id, d0.doc_id, CAST(sum(w.weight * d0.weight) AS BIGINT) AS score FROM d d0 JOIN q{i} w USING (term) JOIN {by} x ON x.query_id = w.query_id AND x.block_id = d0.doc_id // 8 GROUP BY ALL HAVING sum(w.weight * d0.weight) > 0"
+        floor = f"SELECT query_id, score AS floor FROM ({_best(f's{i}', k)}) WHERE rank = {k}"
+        take = f"SELECT query_id, block_id FROM bd{i} LEFT JOIN f{i} USING (query_id) WHERE floor IS NULL OR bound * CAST({a} AS DOUBLE) >= floor"
+        each += [f"q{i} AS ({share})", f"bd{i} AS ({bound})", f"sd{i} AS ({seed})", f"s{i} AS ({score.format(i=i, by=f'sd{i}')})", f"f{i} AS ({floor})", f"t{i} AS ({take})", f"r{i} AS ({score.format(i=i, by=f't{i}')})"]
+    rows = " UNION ALL ".join(f"SELECT CAST({a} AS DOUBLE) AS alpha, CAST({b} AS DOUBLE) AS beta, {k} AS k, * FROM ({_best(f'r{i}', k)})" for i, (a, b, k) in enumerate(SWEEP))
+    return _with(D, Q, "mx AS (SELECT term, doc_id // 8 AS block_id, max(weight) AS top FROM d GROUP BY ALL)", *each, out=f"SELECT alpha, beta, k, query_id, rank, doc_id, score FROM ({rows})")
+
+
+@_add("block_max_sweep", _sweep_sql())
+def block_max_sweep(s: SparkSession, d: str) -> DataFrame:
+    ix = _plain_index(s, d)
+    return blockmax_sweep(ix, held(s, d, "queries_a"), SWEEP, maxima=_held_maxima(s, d, ix))
 
 
 @_add("postings_touched", _with(D, Q, out="SELECT query_id, count(*) AS touched FROM q JOIN d USING (term) GROUP BY query_id"))
@@ -405,3 +438,115 @@ def experiment_counts(s: SparkSession, d: str) -> DataFrame:
 @_add("qrels_containment", _with(_REL, out="SELECT query_id, doc_id, relevance FROM r"))
 def qrels_containment(s: SparkSession, d: str) -> DataFrame:
     return held(s, d, "qrels_a")
+
+
+# Cluster search: every 50th vector asks; summaries keep half of their mass.
+CLUSTER_CUT, CLUSTER_FACTOR, CLUSTER_SEEDS = 8, 1.15, 2
+_PRODUCT = "CAST(sum(w.weight * x.weight) AS BIGINT)"
+_CLUSTER = [
+    B, "m AS (SELECT label AS cluster_id, doc_id, term, weight FROM b JOIN embeddings e ON e.vec_id = b.doc_id)",
+    "u AS (SELECT cluster_id, term, max(weight) AS weight FROM m GROUP BY cluster_id, term)", f"us AS ({_mass_excl('u', 'cluster_id', 'term', ALPHA)})",
+    "qq AS (SELECT doc_id AS query_id, term, weight FROM b WHERE doc_id % 50 = 0 AND weight > 0)", f"qc AS ({_top('qq', 'query_id', 'term', CLUSTER_CUT, True)})",
+    f"bd AS (SELECT query_id, cluster_id, {_PRODUCT} AS bound FROM us x JOIN qc w USING (term) GROUP BY ALL HAVING sum(w.weight * x.weight) > 0)",
+    f"sd AS (SELECT query_id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, cluster_id) AS rn FROM bd) WHERE rn <= {CLUSTER_SEEDS})",
+    f"s1 AS (SELECT w.query_id, x.doc_id, {_PRODUCT} AS score FROM m x JOIN qq w USING (term) JOIN sd ON sd.query_id = w.query_id AND sd.cluster_id = x.cluster_id GROUP BY ALL HAVING sum(w.weight * x.weight) > 0)",
+    f"fl AS (SELECT query_id, score AS floor FROM ({_best('s1', K)}) WHERE rank = {K})",
+    f"tk AS (SELECT query_id, cluster_id FROM bd LEFT JOIN fl USING (query_id) WHERE floor IS NULL OR bound * CAST({CLUSTER_FACTOR} AS DOUBLE) >= floor UNION SELECT * FROM sd)",
+    f"s2 AS (SELECT w.query_id, x.doc_id, {_PRODUCT} AS score FROM m x JOIN qq w USING (term) JOIN tk ON tk.query_id = w.query_id AND tk.cluster_id = x.cluster_id GROUP BY ALL HAVING sum(w.weight * x.weight) > 0)",
+]
+
+
+@_add("cluster_search", _with(*_CLUSTER, out=_best("s2", K)))
+def cluster_search(s: SparkSession, d: str) -> DataFrame:
+    docs, members = held(s, d, "docs_b"), held(s, d, "members_b")
+    asked = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return search.cluster_search(docs, members, cluster.summary_mass(docs, members, ALPHA), asked, K, CLUSTER_CUT, CLUSTER_FACTOR, CLUSTER_SEEDS)
+
+
+@_add("postings_touched_mean", _with(D, Q, out="SELECT count(*) AS queries, CAST(sum(n) AS BIGINT) AS touched, CAST(sum(n) // count(*) AS BIGINT) AS mean FROM (SELECT query_id, count(*) AS n FROM q JOIN d USING (term) GROUP BY query_id)"))
+def postings_touched_mean(s: SparkSession, d: str) -> DataFrame:
+    return search.mean_postings_touched(_plain_index(s, d), held(s, d, "queries_a"))
+
+
+def _sparse_with_dense(s: SparkSession, d: str) -> DataFrame:
+    dense = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return vectors.as_arrays(held(s, d, "docs_b"), "doc_id").join(dense, "doc_id")
+
+
+_BESIDE = "SELECT b.doc_id, b.term, b.weight * CAST(e.embedding[b.term + 1] AS DOUBLE) AS x FROM b JOIN embeddings e ON e.vec_id = b.doc_id"
+
+
+@_add("sparse_dense_dot", _with(B, out=f"SELECT doc_id, round(sum(x), 6) AS dot FROM ({_BESIDE}) GROUP BY doc_id"))
+def sparse_dense_dot(s: SparkSession, d: str) -> DataFrame:
+    return _sparse_with_dense(s, d).select("doc_id", F.round(distance.sparse_dense_dot(F.col("terms"), F.col("weights"), F.col("embedding")), 6).alias("dot"))
+
+
+@_add("sparse_float_dot_int32", _with(B, out=f"SELECT doc_id, CAST(list_reduce(list_prepend(CAST(0 AS DOUBLE), list(x ORDER BY term)), lambda a, y: trunc(a + y)) AS INTEGER) AS dot FROM ({_BESIDE}) GROUP BY doc_id"))
+def sparse_float_dot_int32(s: SparkSession, d: str) -> DataFrame:
+    return _sparse_with_dense(s, d).select("doc_id", distance.sparse_float_dot_int32(F.col("terms"), F.col("weights"), F.col("embedding")).alias("dot"))
+
+
+@_add("vector_value", _with(B, out="SELECT doc_id, coalesce(max(CASE WHEN term = 7 THEN weight END), 0) AS weight FROM b GROUP BY doc_id"))
+def vector_value(s: SparkSession, d: str) -> DataFrame:
+    arrays = vectors.as_arrays(held(s, d, "docs_b"), "doc_id")
+    return arrays.select("doc_id", vectors.value_of(F.col("terms"), F.col("weights"), F.lit(7)).alias("weight"))
+
+
+@_add("values_of_term", _with(D, out="SELECT doc_id, coalesce(max(CASE WHEN term = 'the' THEN weight END), 0) AS weight FROM d GROUP BY doc_id"))
+def values_of_term(s: SparkSession, d: str) -> DataFrame:
+    return vectors.values_of_term(held(s, d, "docs_a"), "doc_id", "the")
+
+
+@_add("vector_sum", _with(D, out="SELECT doc_id, CAST(sum(weight) AS BIGINT) AS total FROM d GROUP BY doc_id"))
+def vector_sum(s: SparkSession, d: str) -> DataFrame:
+    return vectors.total(held(s, d, "docs_a"), "doc_id")
+
+
+@_add("impact_order", _with(Q, out="SELECT query_id, term, weight, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS INTEGER) AS place FROM q"))
+def impact_order(s: SparkSession, d: str) -> DataFrame:
+    return vectors.impact_order(held(s, d, "queries_a"), "query_id").select("query_id", "term", "weight", "place")
+
+
+@_add("impact_order_budget", _with(Q, out="SELECT * FROM (SELECT query_id, term, weight, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS INTEGER) AS place FROM q) WHERE place <= 5"))
+def impact_order_budget(s: SparkSession, d: str) -> DataFrame:
+    return vectors.impact_order(held(s, d, "queries_a"), "query_id", budget=5).select("query_id", "term", "weight", "place")
+
+
+@_add("forward_range", _with(D, out="SELECT doc_id, term, weight FROM d WHERE doc_id >= 100 AND doc_id < 200"))
+def forward_range(s: SparkSession, d: str) -> DataFrame:
+    return index.doc_range(held(s, d, "docs_a"), 100, 200).select("doc_id", "term", "weight")
+
+
+@_add("forward_update", _with(D, B, out="SELECT doc_id, term, weight FROM d WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, CAST(term AS VARCHAR), weight FROM b"))
+def forward_update(s: SparkSession, d: str) -> DataFrame:
+    changed = held(s, d, "docs_b").withColumn("term", F.col("term").cast("string"))
+    return index.update_vectors(held(s, d, "docs_a").select("doc_id", "term", "weight"), changed)
+
+
+@_add("document_ordinals", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, CAST(doc_id AS VARCHAR) AS value FROM (SELECT DISTINCT doc_id FROM documents)")
+def document_ordinals(s: SparkSession, d: str) -> DataFrame:
+    return text.ordinal_ids(s.read.parquet(f"{d}/documents.parquet"), "doc_id")
+
+
+_CONVERTED = [B, f"o1 AS ({_ratio('b', 'term', 'doc_id', _PLAIN_RULE.replace(str(RATIO), '0.2'), 'weight')})", f"o2 AS ({_ratio('o1', 'doc_id', 'term', _PLAIN_RULE.replace(str(RATIO), '0.1'), 'weight')})", f"o3 AS ({_mass_incl('o2', 'doc_id', 'term', 0.9)})"]
+
+
+@_add("converted_vectors", _with(*_CONVERTED, out="SELECT 'v' || doc_id AS id, 't' || term AS token, round(CAST(weight AS DOUBLE), 6) AS weight FROM o3 WHERE weight > 0 AND term < 60"))
+def converted_vectors(s: SparkSession, d: str) -> DataFrame:
+    named = lambda df, c, letter: df.select(F.col(c).alias("ordinal"), F.concat(F.lit(letter), F.col(c).cast("string")).alias("value"))
+    x = held(s, d, "docs_b")
+    return text.convert(x, named(s.range(60), "id", "t"), named(x.select("doc_id").distinct(), "doc_id", "v"), 0.9, 0.1, 0.2)
+
+
+_PHASES = [("main", "Q", 19), ("main", "D", 11), ("main", "P", 10), ("main", "QD", 3), ("main", "QP", 3), ("block", "B3", 44), ("block", "B4", 28), ("block", "B5", 8), ("cluster", "S1", 6), ("cluster", "S2", 28), ("cluster", "S3", 21), ("cluster", "S4", 12), ("cluster", "S5", 12)]
+
+
+@_add("all_plan_counts", f"SELECT engine, phase, CAST(n AS BIGINT) AS count FROM (VALUES {', '.join(map(str, _PHASES))}) t(engine, phase, n)")
+def all_plan_counts(s: SparkSession, d: str) -> DataFrame:
+    return experiments.all_plan_counts(s)
+
+
+@_add("sweep_summary", "SELECT '[' || string_agg('{\"exp_id\":\"' || exp_id || '\",\"queries\":' || n || '}', ',' ORDER BY exp_id) || ']' AS value FROM (SELECT 'label' || label AS exp_id, count(*) AS n FROM embeddings GROUP BY label)")
+def sweep_summary(s: SparkSession, d: str) -> DataFrame:
+    rows = s.read.parquet(f"{d}/embeddings.parquet").groupBy(F.concat(F.lit("label"), F.col("label").cast("string")).alias("exp_id")).agg(F.count("*").alias("queries"))
+    return text.sweep_json(rows)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.quantize import positive
+from .operators.sizes import bounded_broadcast
 
 
 def text_impacts(df: DataFrame, id_col: str, text_col: str = "text", out_id: str = "doc_id") -> DataFrame:
@@ -21,18 +22,45 @@ def dense_impacts(df: DataFrame, id_col: str = "vec_id", array_col: str = "embed
     return parts.select(out_id, "term", positive(F.least(F.lit(3.0).cast("float"), F.col("v").cast("float") * F.lit(8.0).cast("float"))).alias("weight"))
 
 
+#: Words of the grams that lead from items to documents, the longest that an item has.
+GRAM_WORDS = (4, 3, 2, 1)
+
+
 def containment_qrels(docs: DataFrame, items: DataFrame, labels: DataFrame) -> DataFrame:
     """(query_id, doc_id, relevance): documents that hold an item's text; relevance 1 + quality.
 
-    Pairs are found over the item's first words (a hash join on word 4-grams), then
-    checked for containment, so no text is compared with every item.
+    Pairs come from a hash join on a gram of the item's inner words (its first and last
+    may be parts of the document's words), up to four; texts are attached to pairs of
+    ids afterwards and checked for containment.  Items of one or two words have no
+    inner word and are looked for in every text.
     """
-    spaced = lambda d, i: d.select(F.col(i), "text", F.split("text", "[ \n]+").alias("w"))
-    gram = lambda at: F.concat_ws(" ", F.slice("w", at, 4))
-    # A gram inside the item is free of what precedes or follows it in the document.
-    q = spaced(items, "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), gram(F.lit(3)).alias("gram"))
-    d = spaced(docs, "doc_id").select("doc_id", F.col("text").alias("body"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, 4))))).alias("gram"))
-    hit = d.join(q, "gram").where(F.contains("body", "item")).select("query_id", "doc_id").distinct()
+    words = F.split("text", "[ \n]+")
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    q = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), words.alias("w")).where("item IS NOT NULL")
+    q = q.select("query_id", "item", F.slice(inner, 1, GRAM_WORDS[0]).alias("inner")).withColumn("n", F.size("inner"))
+    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # five values at most
+    d = docs.select("doc_id", words.alias("w")).where("w IS NOT NULL")
+
+    def grams(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", F.slice("w", i, n)))
+        return F.when(F.size("w") >= n, each).otherwise(F.array().cast("array<string>"))
+
+    long = [grams(n) for n in GRAM_WORDS if n in sizes]
+    body = docs.select("doc_id", F.col("text").alias("body"))
+    hit = None
+    if long:
+        have = d.select("doc_id", F.explode(F.array_distinct(F.concat(*long))).alias("gram"))
+        asked = q.where("n > 0").select("query_id", F.concat_ws(" ", "inner").alias("gram"))
+        pairs = have.join(bounded_broadcast(asked), "gram").select("query_id", "doc_id").distinct()
+        hit = pairs.join(q.select("query_id", "item"), "query_id").join(body, "doc_id").where(F.contains("body", "item")).select("query_id", "doc_id")
+    if 0 in sizes:
+        short = q.where("n = 0").groupBy().agg(F.collect_list(F.struct("query_id", "item")).alias("items"))  # items of two words at most
+        found = F.explode(F.filter("items", lambda x: F.contains(F.col("body"), x["item"]))).alias("x")
+        least = body.crossJoin(F.broadcast(short)).select("doc_id", found).select(F.col("x.query_id").alias("query_id"), "doc_id")  # one row on the right
+        hit = least if hit is None else hit.unionByName(least)
+    if hit is None:
+        hit = body.where("false").select(F.lit(0).cast("long").alias("query_id"), "doc_id")
+    hit = hit.distinct()
     return hit.join(labels.select("doc_id", "quality"), "doc_id", "left").select("query_id", "doc_id", (F.lit(1) + F.coalesce("quality", F.lit(0))).cast("int").alias("relevance"))
 
 

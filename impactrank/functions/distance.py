@@ -59,4 +59,16 @@ def dense_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def sparse_dense_dot(terms: Column, weights: Column, dense: Column) -> Column:
+    """Inner product of a sparse vector, as arrays of terms and weights, and a dense array; terms beyond it count 0."""
+    parts = F.zip_with(terms, weights, lambda i, w: w.cast("double") * F.coalesce(F.get(dense, i).cast("double"), F.lit(0.0)))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+
+def sparse_float_dot_int32(terms: Column, weights: Column, dense: Column) -> Column:
+    """sparse_dense_dot() as a 32-bit integer accumulator computes it: the sum is cut to an integer at every term, in the order given."""
+    parts = F.zip_with(terms, weights, lambda i, w: w.cast("double") * F.coalesce(F.get(dense, i).cast("double"), F.lit(0.0)))
+    return F.aggregate(parts, F.lit(0), lambda s, x: (s.cast("double") + x).cast("int"))
+
+
 DISTANCES = {"dot": dot, "cosine": cosine, "l2": euclidean, "l1": manhattan}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,13 +19,36 @@ def locality(postings: DataFrame) -> DataFrame:
     )
 
 
+#: Parts that order statistics are looked for in, about equal in rows.
+RANK_PARTS = 256
+
+
 def latency_stats(df: DataFrame, value: str, fractions: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:
     """Mean, extremes, and order statistics at index floor(n * p), at most n - 1; no interpolation.
 
-    Ranks come from counts of distinct values, so equal values are never ordered row by row.
+    Distinct values are counted and cut into parts at approximate quantiles; totals of
+    the parts tell where ranks fall, and running counts are taken inside parts only.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    run = counts.select("v", "c", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("v")).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    at = [i / RANK_PARTS for i in range(1, RANK_PARTS)]
+    cuts = sorted(set(counts.agg(F.percentile_approx("v", at, 10_000)).first()[0] or []))
+    part = F.lit(0)
+    if cuts:
+        # The number of cuts at or below a value, by halving.
+        def below(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(F.col("v") < F.lit(cuts[mid]), below(low, mid)).otherwise(below(mid + 1, high))
+
+        part = below(0, len(cuts))
+    counts = counts.withColumn("part", part)
+    totals = counts.groupBy("part").agg(F.sum("c").alias("t"))  # RANK_PARTS rows at most
+    everything = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("t").over(everything.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("part", before.alias("before"), F.sum("t").over(everything).alias("n"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v"))
+    run = counts.join(F.broadcast(totals), "part").select("v", "c", "n", upto.alias("upto"))
     pick = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1), F.col("v")))
     return run.agg(
         F.max("n").cast("long").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 6).alias("avg"), F.min("v").alias("min"), F.max("v").alias("max"),

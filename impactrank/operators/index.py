@@ -42,20 +42,41 @@ def build(docs: DataFrame, doc_prune: VectorPrune = VectorPrune(), list_prune: V
     return Index(windowed(postings, window, layout), docs, window)
 
 
+#: Batch number of what save() and append() write; a stream numbers its own from 0.
+WHOLE = -1
+
+
+def write_postings(postings: DataFrame, path: str, batch: int, mode: str, replace: str = "static") -> None:
+    """Postings in folders by window, then batch, sorted by term, so term filters skip row groups."""
+    dealt = postings.withColumn("batch", F.lit(batch).cast("long")).repartition("window_id").sortWithinPartitions("term", "doc_id")
+    dealt.write.partitionBy("window_id", "batch").option("partitionOverwriteMode", replace).mode(mode).parquet(f"{path}/postings")
+
+
+def write_forward(forward: DataFrame, path: str, batch: int, mode: str, replace: str = "static") -> None:
+    dealt = forward.withColumn("batch", F.lit(batch).cast("long")).repartition("doc_id").sortWithinPartitions("doc_id", "term")
+    dealt.write.partitionBy("batch").option("partitionOverwriteMode", replace).mode(mode).parquet(f"{path}/forward")
+
+
 def save(index: Index, path: str) -> None:
-    """Persist as Parquet; postings are partitioned by window and sorted by term, so term filters skip row groups."""
-    index.postings.repartition("window_id").sortWithinPartitions("term", "doc_id").write.partitionBy("window_id").mode("overwrite").parquet(f"{path}/postings")
-    index.forward.repartition("doc_id").sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(f"{path}/forward")
+    """Persist as Parquet, in the layout that append() and the streaming ingest add to."""
+    write_postings(index.postings, path, WHOLE, "overwrite")
+    write_forward(index.forward, path, WHOLE, "overwrite")
 
 
 def load(spark: SparkSession, path: str, window: int = WINDOW) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings").withColumn("window_id", F.col("window_id").cast("long")), spark.read.parquet(f"{path}/forward"), window)
+    postings = spark.read.parquet(f"{path}/postings").withColumn("window_id", F.col("window_id").cast("long")).drop("batch")
+    return Index(postings, spark.read.parquet(f"{path}/forward").drop("batch"), window)
+
+
+def append(spark: SparkSession, path: str, docs: DataFrame, window: int = WINDOW, doc_prune: VectorPrune = VectorPrune()) -> None:
+    """Add documents to a saved index, their postings pruned by document; list rules need the whole index."""
+    write_postings(windowed(prune_docs(docs, doc_prune), window), path, WHOLE, "append")
+    write_forward(docs, path, WHOLE, "append")
 
 
-def append(spark: SparkSession, path: str, docs: DataFrame, window: int = WINDOW) -> None:
-    """Add documents to a saved, unpruned index."""
-    windowed(docs, window).write.partitionBy("window_id").mode("append").parquet(f"{path}/postings")
-    docs.write.mode("append").parquet(f"{path}/forward")
+def update_vectors(forward: DataFrame, changed: DataFrame) -> DataFrame:
+    """Vectors with those of the documents in ``changed`` replaced whole."""
+    return forward.join(changed.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(changed.select(forward.columns))
 
 
 def doc_range(forward: DataFrame, first: int, end: int) -> DataFrame:

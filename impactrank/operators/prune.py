@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.quantize import wrap_int8
+from .sizes import BROADCAST_ROWS, bounded_broadcast
 
 
 def _f(x: float | Column) -> Column:
@@ -32,28 +35,82 @@ def mass_exclusive(df: DataFrame, by: str, tie: str, alpha: float) -> DataFrame:
     return df.withColumn("_c", run).withColumn("_s", total).where(_f(F.col("_c")) <= _f(alpha) * _f(F.col("_s"))).drop("_c", "_s")
 
 
-def list_mass_exclusive(postings: DataFrame, alpha: float, term: str = "term", doc: str = "doc_id") -> DataFrame:
-    """mass_exclusive() for posting lists of integer weights, without a task per term.
+#: Document ids that are ranked together where a weight level of a list is kept in part.
+RANK_SPAN = 4096
+
 
-    Lists of common terms are long, weights are few: running masses are taken over
-    the (term, weight) counts, which aggregate before the shuffle.  Only the one
-    weight level of a term that is kept in part is ranked by document.
+def levels(postings: DataFrame, term: str = "term") -> DataFrame:
+    """(term, _w, _n, _q): how many postings of each list have a weight, all of them kept (_q = _n).
+
+    Lists of common terms are long, weights are few: what a rule keeps of a list is
+    decided on these counts, which aggregate before the shuffle.
     """
+    return postings.groupBy(term, F.abs("weight").alias("_w")).agg(F.count("*").alias("_n")).withColumn("_q", F.col("_n"))
+
+
+def _heavier(level: DataFrame, value: Column, term: str) -> Column:
+    """Sum of value over the heavier levels of the list."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(term).orderBy(F.col("_w").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def level_mass(level: DataFrame, alpha: float, term: str = "term") -> DataFrame:
+    """mass_exclusive() on the levels of integer weights."""
     if not 0 < alpha < 1:
-        return postings
-    level = postings.groupBy(term, F.abs("weight").alias("_w")).agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(term)
-    before = F.coalesce(F.sum(F.col("_w") * F.col("_n")).over(by.orderBy(F.col("_w").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    level = level.withColumn("_b", before).withColumn("_s", F.sum(F.col("_w") * F.col("_n")).over(by))
+        return level
+    mass = F.col("_w") * F.col("_q")
+    level = level.withColumn("_b", _heavier(level, mass, term)).withColumn("_s", F.sum(mass).over(Window.partitionBy(term)))
     target = _f(alpha) * _f(F.col("_s"))
     # Running masses are integers: compared as integers, and with the target in single precision.
-    fit = F.when(F.col("_w") == 0, F.when(_f(F.col("_b")) <= target, F.col("_n")).otherwise(0)).otherwise(F.least(F.col("_n"), F.greatest(F.lit(0), F.floor((target.cast("double") - F.col("_b")) / F.col("_w")))))
-    level = level.withColumn("_q", fit.cast("long"))
-    held = postings.withColumn("_w", F.abs("weight")).join(level.where("_q > 0").select(term, "_w", "_n", "_q"), [term, "_w"])
-    # A level kept whole needs no rank: its rows are groups of one.
-    alone = F.when(F.col("_q") >= F.col("_n"), F.col(doc))
-    rank = F.row_number().over(Window.partitionBy(term, "_w", alone).orderBy(doc))
-    return held.withColumn("_r", rank).where("_r <= _q").select(postings.columns)
+    whole = F.when(_f(F.col("_b")) <= target, F.col("_q")).otherwise(0)
+    some = F.least(F.col("_q"), F.greatest(F.lit(0), F.floor((target.cast("double") - F.col("_b")) / F.col("_w"))))
+    return level.withColumn("_q", F.when(F.col("_w") == 0, whole).otherwise(some).cast("long")).drop("_b", "_s").where("_q > 0")
+
+
+def level_ratio(level: DataFrame, ratio: float, term: str = "term") -> DataFrame:
+    """list_ratio() on levels."""
+    if not 0 < ratio < 1:
+        return level
+    top = F.max("_w").over(Window.partitionBy(term))
+    return level.withColumn("_m", top).where(F.col("_w") > F.col("_m").cast("double") * _f(ratio).cast("double")).drop("_m")
+
+
+def level_top(level: DataFrame, n: int, term: str = "term") -> DataFrame:
+    """fixed_top() on levels."""
+    if n <= 0:
+        return level
+    before = _heavier(level, F.col("_q"), term)
+    return level.withColumn("_q", F.least(F.col("_q"), F.lit(n) - before)).where("_q > 0")
+
+
+def take_levels(postings: DataFrame, level: DataFrame, term: str = "term", doc: str = "doc_id", small: bool | None = None) -> DataFrame:
+    """The postings that levels keep: of a level kept in part those with the smallest documents.
+
+    The levels go to the postings where their number allows (``small``; counted if not
+    given).  A level kept in part is counted by spans of RANK_SPAN document ids; only
+    the span that holds the cut is ranked, so no task gets a level whole.  Ids that are
+    no integers are ranked by level.
+    """
+    kept = level.where("_q > 0").select(term, "_w", "_n", "_q")
+    kept = bounded_broadcast(kept, BROADCAST_ROWS) if small is None else F.broadcast(kept) if small else kept
+    held = postings.withColumn("_w", F.abs("weight")).join(kept, [term, "_w"])
+    whole, part = held.where("_q >= _n").select(postings.columns), held.where("_q < _n")
+    integer = isinstance(postings.schema[doc].dataType, IntegralType)
+    part = part.withColumn("_span", F.expr(f"`{doc}` div {RANK_SPAN}") if integer else F.lit(0).cast("long"))
+    spans = part.groupBy(term, "_w", "_q", "_span").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(term, "_w").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.withColumn("_left", F.col("_q") - before).where("_left > 0").select(term, "_w", "_span", "_c", "_left")
+    part = part.join(spans, [term, "_w", "_span"])
+    # A span kept whole needs no rank: its rows are groups of one.
+    alone = F.when(F.col("_left") >= F.col("_c"), F.col(doc))
+    rank = F.row_number().over(Window.partitionBy(term, "_w", "_span", alone).orderBy(doc))
+    return whole.unionByName(part.withColumn("_r", rank).where("_r <= _left").select(postings.columns))
+
+
+def list_mass_exclusive(postings: DataFrame, alpha: float, term: str = "term", doc: str = "doc_id") -> DataFrame:
+    """mass_exclusive() for posting lists of integer weights, without a task per term."""
+    if not 0 < alpha < 1:
+        return postings
+    return take_levels(postings, level_mass(levels(postings, term), alpha, term), term, doc)
 
 
 def mass_inclusive(df: DataFrame, by: str, tie: str, alpha: float, guard: bool = True) -> DataFrame:
@@ -95,7 +152,7 @@ def list_ratio(postings: DataFrame, ratio: float, term: str = "term") -> DataFra
     """
     if not 0 < ratio < 1:
         return postings
-    top = postings.groupBy(term).agg(F.max(F.abs("weight")).alias("_m"))
+    top = bounded_broadcast(postings.groupBy(term).agg(F.max(F.abs("weight")).alias("_m")), BROADCAST_ROWS)
     return postings.join(top, term).where(F.abs("weight") > F.col("_m").cast("double") * _f(ratio).cast("double")).select(postings.columns)
 
 
@@ -110,7 +167,7 @@ def plain_ratio(df: DataFrame, by: str, ratio: float | None) -> DataFrame:
     """Keep weights at or above ratio times the largest, in double precision (converter and cluster engine)."""
     if ratio is None:
         return df
-    top = df.groupBy(by).agg(F.max("weight").alias("_m"))
+    top = bounded_broadcast(df.groupBy(by).agg(F.max("weight").alias("_m")), BROADCAST_ROWS)
     return df.join(top, by).where(F.col("weight").cast("double") >= F.col("_m") * F.lit(float(ratio))).select(df.columns)
 
 
@@ -121,28 +178,28 @@ def fixed_top(df: DataFrame, by: str, tie: str, n: int, signed: bool = False) ->
     return df.withColumn("_r", F.row_number().over(_order(by, tie, signed))).where(F.col("_r") <= n).drop("_r")
 
 
-def longest_lists(postings: DataFrame, fraction: float, term: str = "term", all_terms: int | None = None) -> DataFrame:
-    """Terms with the longest lists, ``fraction`` of all (rounded down), ties by term.
+def longest_lists(lengths: DataFrame, fraction: float, term: str = "term", all_terms: int | None = None) -> DataFrame:
+    """Of (term, _len), the terms with the longest lists, ``fraction`` of all (rounded down), ties by term.
 
     ``all_terms`` counts terms whose list is already empty too.  The cut is found on
     the distribution of lengths; terms are ranked only at the length of the cut.
     """
-    lengths = postings.groupBy(term).agg(F.count("*").alias("_len"))
+    spread = lengths.groupBy("_len").agg(F.count("*").alias("_n"))  # few rows: one per length
     total = F.lit(all_terms) if all_terms is not None else F.sum("_n").over(Window.partitionBy(F.lit(0)))
-    spread = lengths.groupBy("_len").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("_len").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = F.floor(_f(total) * _f(fraction)).cast("long")
     spread = spread.withColumn("_q", F.least(F.col("_n"), quota - before)).where("_q > 0").select("_len", "_n", "_q")
-    held = lengths.join(spread, "_len")
-    some = held.where("_q < _n").withColumn("_r", F.row_number().over(Window.partitionBy("_len").orderBy(term))).where("_r <= _q")
-    return held.where("_q >= _n").select(term).unionByName(some.select(term))
+    alone = F.when(F.col("_q") >= F.col("_n"), F.col(term))
+    rank = F.row_number().over(Window.partitionBy("_len", alone).orderBy(term))
+    return lengths.join(spread, "_len").withColumn("_r", rank).where("_r <= _q").select(term)
 
 
 def drop_longest_lists(postings: DataFrame, fraction: float, term: str = "term", all_terms: int | None = None) -> DataFrame:
     """Postings without the longest lists."""
     if not 0 < fraction < 1:
         return postings
-    return postings.join(longest_lists(postings, fraction, term, all_terms), term, "left_anti")
+    lengths = postings.groupBy(term).agg(F.count("*").alias("_len"))
+    return postings.join(bounded_broadcast(longest_lists(lengths, fraction, term, all_terms), BROADCAST_ROWS), term, "left_anti")
 
 
 def audit(original: DataFrame, pruned: DataFrame, postings: DataFrame, doc: str = "doc_id", term: str = "term") -> DataFrame:
@@ -166,10 +223,48 @@ def prune_docs(docs: DataFrame, p: VectorPrune, doc: str = "doc_id", term: str =
     return fixed_top(doc_ratio(mass_exclusive(docs, doc, term, p.alpha), doc, p.max_ratio), doc, term, p.fixed_top)
 
 
-def prune_lists(postings: DataFrame, p: VectorPrune, doc: str = "doc_id", term: str = "term", levels: bool = True) -> DataFrame:
-    """Mass, then ratio, then count, then the longest lists.  ``levels``: weights are integers."""
-    out = list_mass_exclusive(postings, p.alpha, term, doc) if levels else mass_exclusive(postings, term, doc, p.alpha)
-    return drop_longest_lists(fixed_top(list_ratio(out, p.max_ratio, term), term, doc, p.fixed_top), p.longest, term)
+def prune_lists(postings: DataFrame, p: VectorPrune, doc: str = "doc_id", term: str = "term", integers: bool = True) -> DataFrame:
+    """Mass, then ratio, then count, then the longest lists.
+
+    With ``integers`` as weights all rules are decided on one table of levels, and
+    postings are joined with it once.
+    """
+    if p == VectorPrune():
+        return postings
+    if not integers:
+        out = list_ratio(mass_exclusive(postings, term, doc, p.alpha), p.max_ratio, term)
+        return drop_longest_lists(fixed_top(out, term, doc, p.fixed_top), p.longest, term)
+    kept = level_top(level_ratio(level_mass(levels(postings, term), p.alpha, term), p.max_ratio, term), p.fixed_top, term)
+    if not 0 < p.longest < 1:
+        return take_levels(postings, kept, term, doc)
+    left, few = _without_longest(kept, p.longest, term)
+    return take_levels(postings, left, term, doc, few)
+
+
+def _without_longest(level: DataFrame, fraction: float, term: str) -> tuple[DataFrame, bool]:
+    """drop_longest_lists() on levels, and whether few enough are left to broadcast.
+
+    One job counts lists and levels by length; the driver finds the length of the cut,
+    and only lists of that length are ranked.
+    """
+    by_length = level.groupBy(term).agg(F.sum("_q").alias("_len"), F.count("*").alias("_l")).groupBy("_len")
+    spread = by_length.agg(F.count("*").alias("n"), F.sum("_l").alias("l")).orderBy(F.col("_len").desc()).collect()  # a row per length
+    lists = sum(r["n"] for r in spread)
+    quota = int(np.floor(np.float32(lists) * np.float32(fraction)))
+    few = sum(r["l"] for r in spread) <= BROADCAST_ROWS
+    at = None
+    for r in spread:
+        at = r["_len"]
+        if quota < r["n"]:
+            break
+        quota -= r["n"]
+    if at is None:
+        return level, True
+    level = level.withColumn("_len", F.sum("_q").over(Window.partitionBy(term))).where(F.col("_len") <= at)
+    if quota:  # of the lists of that length the first by term go
+        tied = F.when(F.col("_len") != at, F.col(term))
+        level = level.withColumn("_t", F.dense_rank().over(Window.partitionBy("_len", tied).orderBy(term))).where((F.col("_len") < at) | (F.col("_t") > quota))
+    return level, few
 
 
 @dataclass(frozen=True)

@@ -8,13 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .index import Index
-from .prune import QueryPrune, prune_queries
+from .prune import QueryPrune, fixed_top, prune_queries
+from .sizes import BROADCAST_ROWS, bounded_broadcast, is_small
 from .topk import pad, top_k
 
-#: A query batch of at most so many rows goes to every executor; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
-
-
 @dataclass(frozen=True)
 class SearchConfig:
     k: int = 10
@@ -26,16 +23,6 @@ class SearchConfig:
     broadcast_rows: int = BROADCAST_ROWS
 
 
-def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only after counting that df is small enough."""
-    return F.broadcast(df) if is_small(df, rows) else df
-
-
 def accumulate(postings: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
     """(query_id, doc_id, score): sums over terms in common, positive ones only.
 
@@ -94,3 +81,37 @@ def postings_touched(index: Index, queries: DataFrame) -> DataFrame:
     """Per query, the number of postings its terms read."""
     lengths = index.postings.groupBy("term").agg(F.count("*").alias("n"))
     return queries.join(lengths, "term").groupBy("query_id").agg(F.sum("n").cast("long").alias("touched"))
+
+
+def mean_postings_touched(index: Index, queries: DataFrame) -> DataFrame:
+    """Number of queries, postings they touch in all, and the integer mean."""
+    n, total = F.count("*"), F.coalesce(F.sum("touched"), F.lit(0))
+    return postings_touched(index, queries).agg(n.alias("queries"), total.cast("long").alias("touched"), F.expr("coalesce(sum(touched), 0) div greatest(count(*), 1)").cast("long").alias("mean"))
+
+
+def cluster_search(vectors: DataFrame, members: DataFrame, summaries: DataFrame, queries: DataFrame, k: int = 10, query_cut: int = 8, heap_factor: float = 1.0, seeds: int = 2) -> DataFrame:
+    """Approximate search that visits only promising clusters of documents.
+
+    The ``query_cut`` heaviest terms of a query score every cluster by its summary.
+    The best ``seeds`` clusters are scored first; their kth document then admits the
+    clusters whose summary score times ``heap_factor`` reaches its score (all clusters
+    with a common term where the seeds hold fewer than k documents).  Documents of
+    admitted clusters get exact scores from whole queries.  A larger factor visits more;
+    with whole queries, unpruned summaries and a factor of 1 or more the result is exact.
+    """
+    q = queries.select("query_id", "term", F.col("weight").alias("qw")).where("qw > 0")
+    q = bounded_broadcast(q, BROADCAST_ROWS)
+    cut = fixed_top(queries.where("weight > 0"), "query_id", "term", query_cut, signed=True).select("query_id", "term", F.col("weight").alias("qw"))
+    product = F.col("qw").cast("long") * F.col("weight")
+    bound = summaries.join(bounded_broadcast(cut, BROADCAST_ROWS), "term").groupBy("query_id", "cluster_id").agg(F.sum(product).alias("bound")).where("bound > 0")
+    rows = vectors.join(members.select("cluster_id", "doc_id"), "doc_id")
+
+    def scored(admitted: DataFrame) -> DataFrame:
+        hit = rows.join(q, "term").join(admitted, ["query_id", "cluster_id"], "left_semi")
+        return hit.groupBy("query_id", "doc_id").agg(F.sum(product).alias("score")).where("score > 0")
+
+    first = top_k(bound, seeds, score="bound", key="cluster_id").select("query_id", "cluster_id")
+    floor = top_k(scored(first), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    reached = F.coalesce(F.col("bound") * F.lit(float(heap_factor)) >= F.col("floor"), F.lit(True))
+    seen = bound.join(floor, "query_id", "left").where(reached).select("query_id", "cluster_id").unionByName(first)
+    return top_k(scored(seen), k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

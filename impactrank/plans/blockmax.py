@@ -2,31 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.index import Index
-from ..operators.search import BROADCAST_ROWS, bounded_broadcast
-from ..operators.topk import top_k
+from ..operators.sizes import bounded_broadcast
+
+BLOCK = 8
+
+
+def block_maxima(index: Index, block: int = BLOCK) -> DataFrame:
+    """(term, block_id, top): the largest weight of each term in each block; made once for an index."""
+    rows = index.postings.select("term", F.expr(f"doc_id div {block}").alias("block_id"), "weight")
+    return rows.groupBy("term", "block_id").agg(F.max("weight").alias("top"))
 
 
-def blockmax_search(index: Index, queries: DataFrame, k: int = 10, block: int = 8, alpha: float = 1.0) -> DataFrame:
-    """Top k by first-stage scores; alpha = 1 is exact, smaller values skip more.
+def _ranked(scored: DataFrame, score: str, key: str) -> DataFrame:
+    """The k best rows of each key of the sweep, k as each row has it."""
+    w = Window.partitionBy("setting", "query_id").orderBy(F.col(score).desc(), F.col(key))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
 
-    A first pass scores the blocks with each query's highest bounds; its k-th score
+
+def _search(index: Index, q: DataFrame, maxima: DataFrame, block: int) -> DataFrame:
+    """(setting, query_id, rank, doc_id, score) for query rows (setting, query_id, term, qw, alpha, k).
+
+    A first pass scores the blocks with each query's highest bounds; its kth score
     then admits the blocks whose bound times alpha reaches it.
     """
-    q = queries.select("query_id", "term", F.col("weight").alias("qw")).where("qw > 0")
-    blocks = index.postings.withColumn("block_id", F.expr(f"doc_id div {block}"))
-    best = blocks.groupBy("term", "block_id").agg(F.max("weight").alias("top"))
-    bound = best.join(bounded_broadcast(q, BROADCAST_ROWS), "term").groupBy("query_id", "block_id").agg(F.sum(F.col("qw").cast("long") * F.greatest("top", F.lit(0))).alias("bound"))
-    seed = top_k(bound, k, score="bound", key="block_id").select("query_id", "block_id")
+    q = bounded_broadcast(q)
+    run = ["setting", "query_id", "alpha", "k"]
+    best = maxima.join(q, "term").groupBy(*run, "block_id")
+    bound = best.agg(F.sum(F.col("qw").cast("long") * F.greatest("top", F.lit(0))).alias("bound"))
+    seed = _ranked(bound, "bound", "block_id").select("setting", "query_id", "block_id")
+    rows = index.postings.select("term", "doc_id", "weight", F.expr(f"doc_id div {block}").alias("block_id"))
 
     def scored(admitted: DataFrame) -> DataFrame:
-        hit = blocks.join(q, "term").join(admitted, ["query_id", "block_id"], "left_semi")
-        return hit.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw").cast("long") * F.col("weight")).alias("score")).where("score > 0")
+        hit = rows.join(q, "term").join(admitted, ["setting", "query_id", "block_id"], "left_semi")
+        return hit.groupBy(*run, "doc_id").agg(F.sum(F.col("qw").cast("long") * F.col("weight")).alias("score")).where("score > 0")
+
+    last = _ranked(scored(seed), "score", "doc_id").where(F.col("rank") == F.col("k"))
+    floor = last.select("setting", "query_id", F.col("score").alias("floor"))
+    reached = F.coalesce(F.col("bound") * F.col("alpha") >= F.col("floor"), F.lit(True))
+    admitted = bound.join(floor, ["setting", "query_id"], "left").where(reached).select("setting", "query_id", "block_id")
+    out = _ranked(scored(admitted), "score", "doc_id")
+    return out.select("setting", "query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def heaviest_share(queries: DataFrame, beta: float) -> DataFrame:
+    """Query rows (query_id, term, qw) of the ceil(beta * n) heaviest of a query's n positive terms."""
+    q = queries.select("query_id", "term", F.col("weight").alias("qw")).where("qw > 0")
+    if beta >= 1:
+        return q
+    order = Window.partitionBy("query_id").orderBy(F.col("qw").desc(), "term")
+    q = q.withColumn("_n", F.count("*").over(Window.partitionBy("query_id"))).withColumn("_r", F.row_number().over(order))
+    return q.where(F.col("_r") <= F.ceil(F.col("_n") * F.lit(float(beta)))).drop("_n", "_r")
+
+
+def blockmax_search(index: Index, queries: DataFrame, k: int = 10, block: int = BLOCK, alpha: float = 1.0, beta: float = 1.0, maxima: DataFrame | None = None) -> DataFrame:
+    """Top k by first-stage scores; alpha = 1 is exact for the query terms kept, smaller values skip more."""
+    q = heaviest_share(queries, beta).select(F.lit(0).alias("setting"), "query_id", "term", "qw", F.lit(float(alpha)).alias("alpha"), F.lit(k).alias("k"))
+    out = _search(index, q, block_maxima(index, block) if maxima is None else maxima, block)
+    return out.select("query_id", "rank", "doc_id", "score")
 
-    floor = top_k(scored(seed), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    admitted = bound.join(floor, "query_id", "left").where(F.coalesce(F.col("bound") * F.lit(alpha) >= F.col("floor"), F.lit(True))).select("query_id", "block_id")
-    return top_k(scored(admitted), k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
+def blockmax_sweep(index: Index, queries: DataFrame, settings: Sequence[tuple[float, float, int]], block: int = BLOCK, maxima: DataFrame | None = None) -> DataFrame:
+    """(alpha, beta, k, query_id, rank, doc_id, score) of every setting (alpha, beta, k), in one plan over one index."""
+    q = None
+    for number, (alpha, beta, k) in enumerate(settings):
+        part = heaviest_share(queries, beta).select(F.lit(number).alias("setting"), "query_id", "term", "qw", F.lit(float(alpha)).alias("alpha"), F.lit(k).alias("k"))
+        q = part if q is None else q.unionByName(part)
+    out = _search(index, q, block_maxima(index, block) if maxima is None else maxima, block)
+    names = queries.sparkSession.createDataFrame([(i, float(a), float(b), k) for i, (a, b, k) in enumerate(settings)], "setting INT, alpha DOUBLE, beta DOUBLE, k INT")
+    return out.join(F.broadcast(names), "setting").select("alpha", "beta", "k", "query_id", "rank", "doc_id", "score")

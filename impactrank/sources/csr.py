@@ -1,16 +1,19 @@
 """Binary CSR matrices as a Spark data source (``spark.read.format("csr")``) and sink.
 
 Layout, little-endian: nrow, ncol, nnz as int64; indptr int64[nrow + 1]; indices
-int32[nnz]; data float32[nnz].
+int32[nnz]; data float32[nnz].  Paths must be readable as files by the driver and
+all executors (a shared mount on a cluster).
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -19,6 +22,8 @@ from ..functions.quantize import positive
 from ..schema import CSR
 
 HEADER = struct.Struct("<qqq")
+#: Rows of one record batch.
+BATCH_ROWS = 10_000
 
 
 def read_header(path: str) -> tuple[int, int, int]:
@@ -60,7 +65,7 @@ class CsrReader(DataSourceReader):
             first = end
         return parts or [_Rows(0, 0)]
 
-    def read(self, part: _Rows) -> Iterator[tuple]:
+    def read(self, part: _Rows) -> Iterator[pa.RecordBatch]:
         nrow, ncol, nnz = read_header(self.path)
         with open(self.path, "rb") as f:
             f.seek(HEADER.size + 8 * part.first)
@@ -74,9 +79,15 @@ class CsrReader(DataSourceReader):
             data = np.fromfile(f, "<f4", n)
         if n and (indices.min() < 0 or indices.max() >= ncol):
             raise ValueError(f"{self.path}: column index out of range")
-        at = (indptr - indptr[0]).tolist()
-        for k in range(len(at) - 1):
-            yield part.first + k, indices[at[k] : at[k + 1]].tolist(), data[at[k] : at[k + 1]].tolist()
+        at = indptr - indptr[0]
+        if (np.diff(at) < 0).any():
+            raise ValueError(f"{self.path}: indptr falls")
+        rows = len(at) - 1
+        for a in range(0, rows, BATCH_ROWS):
+            b = min(a + BATCH_ROWS, rows)
+            bounds, own = pa.array((at[a : b + 1] - at[a]).astype(np.int32)), slice(int(at[a]), int(at[b]))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x[own])) for x in (indices, data)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first + a, part.first + b)), *lists], ["row_id", "indices", "weights"])
 
 
 class _Wrote(WriterCommitMessage):
@@ -99,7 +110,7 @@ class CsrWriter(DataSourceWriter):
         for row in rows:
             if stem is None:
                 first = row.row_id
-                stem = f"{self.path}.part-{first:020d}-{os.getpid()}"
+                stem = f"{self.path}.part-{first:020d}-{uuid.uuid4().hex}"  # of its own for every attempt
                 fi, fd = open(f"{stem}.i", "wb"), open(f"{stem}.d", "wb")
             np.asarray(row.indices or [], "<i4").tofile(fi)
             np.asarray(row.weights or [], "<f4").tofile(fd)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, value): lines numbered from 0 in file order."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(numbered, T.StructType([T.StructField("ordinal", T.LongType()), T.StructField("value", T.StringType())]))
+    """(ordinal, value): lines numbered from 0, files in order of their paths.
+
+    Lines are counted by file and split; a split's first number is the sum before it.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    splits = lines.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))  # one row per split
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_f", "_b", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(splits, ["_f", "_b"]).select((F.col("_m") + F.col("_shift")).alias("ordinal"), "value")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +123,49 @@ def read_sweep(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("exp_id STRING, alpha DOUBLE, beta DOUBLE, k INT").option("multiLine", True).json(path)
 
 
+#: Ids that cut the range of all ids into parts which are numbered side by side, about.
+ORDINAL_PARTS = 64
+
+
 def ordinal_ids(df: DataFrame, id_col: str) -> DataFrame:
-    """(ordinal, value): distinct ids numbered from 0 in their own order, sorted by range over all tasks."""
-    numbered = df.select(id_col).distinct().orderBy(id_col).rdd.zipWithIndex().map(lambda x: (x[1], str(x[0][0])))
-    return df.sparkSession.createDataFrame(numbered, "ordinal BIGINT, value STRING")
+    """(ordinal, value): distinct ids numbered from 0 in their own order.
+
+    Ids are cut into ranges at a few of them, picked by hash; ranges are counted, and
+    numbers given inside each.
+    """
+    ids = df.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
+    every = max(1, ids.count() // ORDINAL_PARTS)
+    cuts = sorted(r["id"] for r in ids.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(1))).limit(4 * ORDINAL_PARTS).collect())
+
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("id") < F.lit(cuts[mid]), below(low, mid)).otherwise(below(mid + 1, high))
+
+    ids = ids.withColumn("part", below(0, len(cuts)))
+    everything = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ids.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(everything), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return ids.join(F.broadcast(parts), "part").select((F.col("before") + rank - 1).cast("long").alias("ordinal"), F.col("id").cast("string").alias("value"))
+
+
+def write_experiments(rows: DataFrame, path: str) -> None:
+    """Append rows of a sweep to a folder of CSV files; each file begins with the header."""
+    rows.write.option("header", True).mode("append").csv(path)
+
+
+def read_experiments(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    read = spark.read.option("header", True)
+    return (read.schema(schema) if schema else read.option("inferSchema", True)).csv(path)
+
+
+def sweep_json(rows: DataFrame, order: str = "exp_id") -> DataFrame:
+    """(value): one JSON list of all rows of a sweep summary, in order; a row per setting, so it is small."""
+    whole = F.array_sort(F.collect_list(F.struct(order, F.struct(*rows.columns).alias("row"))))
+    return rows.agg(F.to_json(F.transform(whole, lambda x: x["row"])).alias("value"))
+
+
+def write_sweep(rows: DataFrame, path: str, order: str = "exp_id") -> None:
+    """A sweep summary as one JSON list, readable by read_sweep()."""
+    sweep_json(rows, order).coalesce(1).write.text(path)
