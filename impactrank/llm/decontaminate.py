@@ -1,14 +1,24 @@
 """Benchmark items in documents, found up to edits.
 
-Items and texts are reduced to lower-case letters and digits with single spaces.  An
-item is cut into pieces so that a passage within the allowed edits holds at least one
-piece with one edit or none (there are too few edits for two in every piece), in any
-alignment and wherever the edits are.  Every window of a text is looked up with one of
-its bytes left out, among pieces with one byte left out, which finds such pieces
-whole.  Pieces are also grouped, two or three and then up to 64 bytes, so that a
-passage holds a piece all of whose groups are within their share of the edits; the edit
-distance of each group, for many windows at once, decides whether to go on.  The edit
-distance of the whole item decides in the end.  No step loses a passage.
+Items and texts are reduced to lower-case letters and digits with single spaces.  A
+random walk (CGK embedding) reads a string from some byte on: at each step it puts out
+the byte it is at, and a coin that depends on the step and the byte tells whether it
+moves on.  Walks over two strings that differ by an edit fall in step again, so edit
+distance becomes Hamming distance of what they put out.  A table samples some of
+the steps; equal samples of a walk in the text and a walk in an item make a window of
+the item's size a candidate, wherever in the window and the item the walks start:
+item walks start at every byte (about START_BYTES of them in long items, at an odd
+distance), text walks at every ``stride`` bytes, so every alignment has many tries.
+
+Tables are added until copies of the items, edited by all that is allowed (evenly spaced
+substitutions, and edits of all kinds anywhere), are found as often as ``recall`` asks.
+The edit distance of a part of the item about the walk, for many candidates at once, decides whether to go on;
+the edit distance of the whole item decides in the end.
+
+Items too short for walks, and all items if the tables cannot reach the recall or none
+may be lost (a recall of 1), are cut into pieces instead so that a passage within the allowed edits holds a piece
+with one edit or none; every window of a text is looked up with one of its bytes left out, among
+pieces with one byte left out.  That way loses no passage.
 """
 
 from __future__ import annotations
@@ -18,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +39,18 @@ from ._text import pieces, row_of
 WINDOW = 8
 #: Positions, and groups, worked on at once.
 STRETCH, LANES = 1 << 17, 1 << 14
-#: Items in one pass over the documents; their tables take a few KB each.
+#: Reduced bytes of items in one pass over the documents: tables take about 200 times as much.
+PASS_BYTES = 256 << 10
+#: Items in one pass at most.
 ITEMS_PER_PASS = 20_000
+#: Walks that start in one item, about.
+START_BYTES = 1024
+#: Least bytes of an item, steps of a walk, steps sampled by a table, distance of the walks in texts.
+WALKS = ((64, 32, 12, 4), (32, 16, 7, 4))
+#: Tables that share a walk; tables at first, and at most.
+SHARED, LEAST_TABLES, MOST_TABLES = 3, 6, 24
+#: Items whose edited copies measure the recall.
+MEASURED = 200
 #: Fewer bytes of reduced text tell nothing.
 LEAST_BYTES = 10
 
@@ -134,6 +155,22 @@ class Items:
     levels: list[Groups]
     classes: np.ndarray  # class of each byte; 0 for bytes of no item
     max_edits: float
+    walks: list[Walks]
+
+
+@dataclass
+class Walks:
+    """Walks of one length, the tables over them, and where item walks start."""
+
+    stride: int  # of walks in texts
+    turn: np.ndarray  # (functions, steps, 256): bytes to move on by
+    picks: list[list[np.ndarray]]  # steps that the tables of each function sample
+    item: np.ndarray  # of each start
+    at: np.ndarray
+    levels: list[Groups]
+    keys: list[np.ndarray]  # of each table, sorted
+    start: list[np.ndarray]  # of each key
+    seen: list[np.ndarray]  # whether a key has this hash
 
 
 def cut(size: int, edits: int) -> list[tuple[int, int, int]]:
@@ -149,25 +186,151 @@ def cut(size: int, edits: int) -> list[tuple[int, int, int]]:
     return [(i * (size - rest) // pairs, length, 1) for i in range(pairs)] + ([(size - rest, rest, 0)] if odd else [])
 
 
-def build_items(ids: list[int], raw: list[str], max_edits: float) -> Items | None:
-    """Index items; None if there is none of LEAST_BYTES reduced bytes at least."""
+def reduced(raw: list[str]) -> list[np.ndarray]:
+    """The reduced bytes of each text."""
     data = [(t or "").encode() for t in raw]
     off = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
     text, bounds, _ = normal(np.frombuffer(b"".join(data), np.uint8), off)
-    own = [text[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    return [text[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def make_groups(parts: list[tuple[bytes, int, int]], of: np.ndarray, classes: np.ndarray, kind: type) -> Groups:
+    """Groups of (bytes, place in the item, edits)."""
+    equal = np.zeros((len(parts), int(classes.max(initial=0)) + 1), kind)
+    for g, (t, _, _) in enumerate(parts):
+        for x, c in enumerate(t):
+            equal[g, classes[c]] |= kind(1 << x)
+    return Groups(np.array([x for _, x, _ in parts]), np.array([len(t) for t, _, _ in parts]), np.array([x for _, _, x in parts]), equal, of)
+
+
+def build_items(ids: list[int], raw: list[str], max_edits: float, recall: float = 1.0) -> Items | None:
+    """Index items by tables of the given recall, or by pieces for a recall of 1; None if there is none of LEAST_BYTES reduced bytes at least."""
+    own = reduced(raw)
     keep = [i for i, t in enumerate(own) if len(t) >= LEAST_BYTES]
     if not keep:
         return None
-    texts, numbers = [own[i] for i in keep], np.array([ids[i] for i in keep], np.int64)
+    texts, numbers = [own[i].tobytes() for i in keep], np.array([ids[i] for i in keep], np.int64)
     classes = np.zeros(256, np.uint8)
     used = sorted(set(b"".join(texts)))
     classes[used] = np.arange(1, len(used) + 1)
+    items = Items(numbers, texts, np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], classes, max_edits, [])
+    short = [i for i, t in enumerate(texts) if recall >= 1 or len(t) < WALKS[-1][0]]
+    most = MOST_TABLES if max_edits > 0 else SHARED
+    for place, (least, *shape) in enumerate(WALKS):
+        below = WALKS[place - 1][0] if place else 1 << 62
+        mine = [i for i, t in enumerate(texts) if least <= len(t) < below]
+        if recall >= 1 or not mine:
+            continue
+        for tables in range(min(LEAST_TABLES, most), most + 1, SHARED):
+            items.walks.append(build_walks(texts, mine, classes, max_edits, tables, *shape))
+            share = measured_recall(items, mine)
+            if share >= recall:
+                break
+            items.walks.pop()
+        else:
+            short += mine
+    return add_pieces(items, sorted(short)) if short else items
+
+
+def build_walks(texts: list[bytes], mine: list[int], classes: np.ndarray, max_edits: float, tables: int, steps: int, sampled: int, stride: int) -> Walks:
+    """Tables over the walks of some items."""
+    rng = np.random.default_rng(steps)
+    functions = -(-tables // SHARED)
+    turn = rng.integers(0, 2, (functions, steps, 256)).astype(np.uint8)
+    picks = [[np.sort(rng.choice(steps, sampled, replace=False)) for _ in range(min(SHARED, tables - SHARED * f))] for f in range(functions)]
+    item, at, begin = [], [], []
+    parts: list[list[tuple[bytes, int, int]]] = [[], []]
+    of: list[list[int]] = [[], []]
+    base = 0
+    for i in mine:
+        t = texts[i]
+        last = max(1, len(t) - steps // 2)
+        own = np.arange(0, last, last // START_BYTES | 1)
+        item.append(np.full(len(own), i))
+        at.append(own)
+        begin.append(own + base)
+        base += len(t)
+        allowed = int(max_edits * len(t))
+        for level, bits in enumerate((32, 64)):
+            first = np.clip(own // 8 * 8 - 8, 0, max(len(t) - bits, 0))
+            places, which = np.unique(first, return_inverse=True)
+            of[level].append(which + len(parts[level]))
+            for a in places.tolist():
+                size = min(bits, len(t) - a)
+                # Edits that a part has seldom more of: the mean and two deviations.
+                parts[level].append((t[a : a + size], a, min(allowed, int(np.ceil(size * max_edits + 2 * np.sqrt(size * max_edits * (1 - max_edits)))))))
+    levels = [make_groups(parts[k], np.concatenate(of[k]), classes, kind) for k, kind in enumerate((np.uint32, np.uint64))]
+    text = np.frombuffer(b"".join(texts[i] for i in mine) + bytes(steps + 1), np.uint8)
+    made = Walks(stride, turn, picks, np.concatenate(item), np.concatenate(at), levels, [], [], [])
+    for key in walk(made, text, np.concatenate(begin)):
+        order = np.argsort(key, kind="stable")
+        seen = np.zeros(1 << min(24, max(16, len(key).bit_length() + 5)), bool)
+        seen[_slot(key, len(seen))] = True
+        made.keys.append(key[order])
+        made.start.append(order)
+        made.seen.append(seen)
+    return made
+
+
+def walk(walks: Walks, text: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of all tables, one array of them for each, at the given starts; text has padding for a walk."""
+    multiply = np.uint64(0x9E3779B97F4A7C15)
+    for turn, picks in zip(walks.turn, walks.picks):
+        at = starts.astype(np.int64)
+        keys = [np.zeros(len(at), np.uint64) for _ in picks]
+        wanted = [set(p.tolist()) for p in picks]
+        for step in range(len(turn)):
+            symbol = np.take(text, at, mode="clip")
+            for key, steps in zip(keys, wanted):
+                if step in steps:
+                    key *= multiply
+                    key += symbol
+            at += turn[step][symbol]
+        yield from keys
+
+
+def edited_copies(texts: list[bytes], max_edits: float) -> list[np.ndarray]:
+    """Two copies of each text with all edits allowed: substitutions at even distances, and edits of all kinds anywhere."""
+    rng = np.random.default_rng(len(texts))
+    out = []
+    for t in texts:
+        letters = np.unique(np.frombuffer(t, np.uint8))
+        edits = int(max_edits * len(t))
+        even = np.frombuffer(t, np.uint8).copy()
+        for k in range(edits):
+            even[(2 * k + 1) * len(t) // (2 * edits)] = rng.choice(letters)
+        some = list(t)
+        for _ in range(edits):
+            what, where, letter = rng.integers(3), int(rng.integers(max(len(some), 1))), int(rng.choice(letters))
+            if what == 0:
+                some.insert(where, letter)
+            elif what == 1 and len(some) > 1:
+                del some[where]
+            else:
+                some[where] = letter
+        out += [even, np.array(some, np.uint8)]
+    return out
+
+
+def measured_recall(items: Items, mine: list[int]) -> float:
+    """Share of the edited copies of up to MEASURED items that are found."""
+    mine = [mine[k * len(mine) // min(len(mine), MEASURED)] for k in range(min(len(mine), MEASURED))]
+    copies = edited_copies([items.texts[i] for i in mine], items.max_edits)
+    text = np.concatenate([x for i, c in enumerate(copies) for x in (np.full(5 + i % 8, 0x20, np.uint8), c, np.full(3, 0x20, np.uint8))])
+    sizes = np.array([len(c) + 8 + i % 8 for i, c in enumerate(copies)])
+    found = {(r, i) for r, i, *_ in hits(items, text, np.concatenate([[0], np.cumsum(sizes)]))}
+    return sum((k, mine[k // 2]) in found for k in range(len(copies))) / len(copies)
+
+
+def add_pieces(items: Items, mine: list[int]) -> Items:
+    """Index some items by pieces as well."""
     looked: dict[tuple[int, bool], list[tuple[int, int]]] = {}
     piece_item, piece_at = [], []
     made: list[list[tuple[bytes, int, int]]] = [[], []]  # text, start and edits of the groups of both levels
     of: list[list[int]] = [[], []]
-    for i, t in enumerate(texts):
-        pieces_here = cut(len(t), int(max_edits * len(t)))
+    for i in mine:
+        t = items.texts[i]
+        pieces_here = cut(len(t), int(items.max_edits * len(t)))
         n = len(pieces_here)
         small = max(1, n // 2)
         large = max(1, min(small, -(-len(t) // 64)))
@@ -185,21 +348,15 @@ def build_items(ids: list[int], raw: list[str], max_edits: float) -> Items | Non
             looked.setdefault((length - edit, length - edit in spread), []).extend((int.from_bytes(x, "little"), len(piece_item)) for x in shorter)
             piece_item.append(i)
             piece_at.append(start)
-    scans = []
     for (size, edit), pairs in sorted(looked.items()):
         key, piece = np.array([k for k, _ in pairs], np.uint64), np.array([x for _, x in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         seen = np.zeros(1 << min(24, max(16, len(key).bit_length() + 5)), bool)
         seen[_slot(key, len(seen))] = True
-        scans.append(Scan(size, edit, key[order], piece[order], seen))
-    levels = []
-    for groups, piece_group, kind in zip(made, of, (np.uint32, np.uint64)):
-        equal = np.zeros((len(groups), len(used) + 1), kind)
-        for g, (t, _, _) in enumerate(groups):
-            for x, c in enumerate(t):
-                equal[g, classes[c]] |= kind(1 << x)
-        levels.append(Groups(np.array([x for _, x, _ in groups]), np.array([len(t) for t, _, _ in groups]), np.array([x for _, _, x in groups]), equal, np.array(piece_group)))
-    return Items(numbers, texts, np.array(piece_item), np.array(piece_at), scans, levels, classes, max_edits)
+        items.scans.append(Scan(size, edit, key[order], piece[order], seen))
+    items.levels = [make_groups(groups, np.array(which), items.classes, kind) for groups, which, kind in zip(made, of, (np.uint32, np.uint64))]
+    items.piece_item, items.piece_at = np.array(piece_item), np.array(piece_at)
+    return items
 
 
 def _slot(key: np.ndarray, size: int) -> np.ndarray:
@@ -214,14 +371,8 @@ def seeds(scan: Scan, words: np.ndarray, after: np.ndarray) -> tuple[np.ndarray,
     where, what = [], []
     for j in range(1, scan.size + 1) if scan.edit else (scan.size,):  # without its first byte a window is the next one without its last
         key = a if j == scan.size else b ^ (differ & mask[j])
-        at = np.flatnonzero(scan.seen[_slot(key, len(scan.seen))])
-        key = key[at]
-        first = np.searchsorted(scan.keys, key, "left")
-        same = scan.keys[np.minimum(first, len(scan.keys) - 1)] == key
-        at, first, key = at[same], first[same], key[same]
-        count = np.searchsorted(scan.keys, key, "right") - first
-        k = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        where.append(np.repeat(at, count))
+        at, k = equal_keys(scan.keys, scan.seen, key)
+        where.append(at)
         what.append(scan.piece[k])
     return np.concatenate(where), np.concatenate(what)
 
@@ -256,16 +407,52 @@ def within(groups: Groups, group: np.ndarray, start: np.ndarray, slack: int, tex
     return out
 
 
+def equal_keys(keys: np.ndarray, seen: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in own, place in sorted keys) of all equal pairs."""
+    at = np.flatnonzero(seen[_slot(own, len(seen))])
+    key = own[at]
+    first = np.searchsorted(keys, key, "left")
+    same = keys[np.minimum(first, len(keys) - 1)] == key
+    at, first, key = at[same], first[same], key[same]
+    count = np.searchsorted(keys, key, "right") - first
+    k = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    return np.repeat(at, count), k
+
+
+def collisions(walks: Walks, padded: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, start) of text walks from first to end that equal an item walk in some table, one for each part and alignment."""
+    starts = np.arange(-(-first // walks.stride) * walks.stride, end, walks.stride)
+    where, what = [], []
+    for number, key in enumerate(walk(walks, padded, starts)):
+        at, k = equal_keys(walks.keys[number], walks.seen[number], key)
+        where.append(starts[at])
+        what.append(walks.start[number][k])
+    at, start = np.concatenate(where), np.concatenate(what)
+    group, aligned = walks.levels[0].of[start], (at - walks.at[start] - first + (1 << 40)) // 8
+    order = np.lexsort((aligned, group))
+    new = np.append(True, (np.diff(group[order]) != 0) | (np.diff(aligned[order]) != 0))[: len(order)]
+    return at[order[new]], start[order[new]]
+
+
 def hits(items: Items, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item index, start, end, edits) in reduced text of each item found, the best place of each."""
     n = len(text)
     if not n:
         return []
-    padded = np.concatenate([text, np.zeros(WINDOW + 1, np.uint8)])
+    longest = max([WINDOW, *(len(w.turn[0]) for w in items.walks)])
+    padded = np.concatenate([text, np.zeros(longest + 1, np.uint8)])
     classed = np.concatenate([np.zeros(256, np.uint8), items.classes[text], np.zeros(512, np.uint8)])
     found = []
     for a in range(0, n, STRETCH):
         size = min(STRETCH, n - a)
+        for walks in items.walks:
+            at, start = collisions(walks, padded, a, a + size)
+            for level in walks.levels:
+                near = within(level, level.of[start], at - walks.at[start] + level.at[level.of[start]], 3, classed)
+                start, at = start[near], at[near]
+            found.append((row_of(bounds, np.minimum(at, n - 1)), walks.item[start], at - walks.at[start]))
+        if not items.scans:
+            continue
         words = np.ndarray((size + 1,), "<u8", padded, a, (1,)).copy()
         for scan in items.scans:
             at, piece = seeds(scan, words[:-1], words[1:])
@@ -309,32 +496,62 @@ def hits(items: Items, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int,
     return best
 
 
+def item_passes(items: DataFrame, max_edits: float, recall: float, item_col: str, item_text: str) -> list[Broadcast]:
+    """Indexes of bounded size that hold all items, each on all executors."""
+    spark = prepare(items.sparkSession)
+    known = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
+    held = known.agg(F.sum(F.least(F.octet_length("t"), F.lit(2 * START_BYTES)))).first()[0] or 0
+    passes = max(1, -(-held // PASS_BYTES), -(-known.count() // ITEMS_PER_PASS))
+    out = []
+    for number in range(passes):
+        block = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == number).orderBy("i", "t").toArrow()  # about PASS_BYTES
+        out.append(spark.sparkContext.broadcast(build_items(block.column(0).to_pylist(), block.column(1).to_pylist(), max_edits, recall)))
+    return out
+
+
+def without_items(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.99, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows in which find_items() finds nothing, with all their columns; every pass filters rows where they are."""
+    schema = docs.schema
+    for sent in item_passes(items, max_edits, recall, item_col, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, data, off in pieces(batch, text_col, 1 << 20):
+                    clean = np.ones(part.num_rows, bool)
+                    if sent.value is not None:
+                        text, bounds, _ = normal(data, off)
+                        clean[[r for r, *_ in hits(sent.value, text, bounds)]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def find_items(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per input row: contaminated, n_items, item_ids (ascending), similarity (of the best, 0 if none) and hits.
 
     An item is found where a substring is within ``max_edits`` edits a byte of the
-    item's length; all are found, whatever ``recall`` asks for.  ``hits`` holds item, byte start and end in the text, and edits, for the
+    item's length and a table leads to it: at least a share of ``recall`` of edited copies of the items, and
+    every exact one.  What is found is verified.  ``hits`` holds item, byte start and end in the text, and edits, for the
     best place of each item.  Items of fewer than ten bytes of reduced text (in any
     script, with or without spaces), null texts and empty tables find nothing.  Repeated rows each have a row; other columns are left out.
-    No shuffle in one pass; items beyond ITEMS_PER_PASS take further passes over the rows,
+    No shuffle in one pass; more items than PASS_BYTES hold take further passes over the rows,
     which are numbered and stored first, and results are joined by that number.
     """
     spark = prepare(docs.sparkSession)
-    known = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
-    passes = max(1, -(-known.count() // ITEMS_PER_PASS))
+    indexes = item_passes(items, max_edits, recall, item_col, item_text)
+    passes = len(indexes)
     rows = docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id() if passes > 1 else F.lit(0).cast("long"))
     if passes > 1:  # stored, so that every pass sees the same numbers
         rows = write_table(rows, shared_dir(spark), "rows")
     schema = f"_row long, {id_col} long, contaminated boolean, n_items long, item_ids array<long>, similarity double, hits array<struct<item_id: long, start: long, end: long, edits: long>>"
     out = None
-    for number in range(passes):
-        block = known.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == number).orderBy("i", "t").toArrow()  # about ITEMS_PER_PASS rows
-        sent = spark.sparkContext.broadcast(build_items(block.column(0).to_pylist(), block.column(1).to_pylist(), max_edits))
+    for sent in indexes:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                for part, data, off in pieces(batch, text_col, 2 << 20):
+                for part, data, off in pieces(batch, text_col, 1 << 20):
                     n = part.num_rows
                     rows: list[list[dict]] = [[] for _ in range(n)]
                     best = [0.0] * n
@@ -353,5 +570,6 @@ def find_items(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, recall
         out = found if out is None else out.unionByName(found)
     if passes > 1:
         hits_in_order = F.array_sort(F.flatten(F.collect_list("hits")))
-        out = out.groupBy("_row").agg(F.first(id_col).alias(id_col), F.max("contaminated").alias("contaminated"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("similarity").alias("similarity"), hits_in_order.alias("hits"))
+        out = out.groupBy("_row").agg(F.first(id_col).alias(id_col), F.max("contaminated").alias("contaminated"), F.array_distinct(F.array_sort(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("similarity").alias("similarity"), hits_in_order.alias("hits"))
+        out = out.withColumn("n_items", F.size("item_ids").cast("long")).select("_row", id_col, "contaminated", "n_items", "item_ids", "similarity", "hits")
     return out.drop("_row")

@@ -185,6 +185,31 @@ def test_items_at_the_allowed_edits_equal_brute_force(share):
     assert got == true and len(true) > len(items)
 
 
+def test_tables_find_copies_with_all_allowed_edits():
+    rng = np.random.default_rng(21)
+    vocabulary = ["".join(rng.choice(list("aeinorstlmdc"), rng.integers(2, 9))) for _ in range(2000)]
+    words = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [words(int(rng.integers(14, 60))) for _ in range(150)]
+    index = decontaminate.build_items(list(range(len(items))), items, 0.2, recall=0.99)
+    assert index.walks and not index.scans  # nothing but tables leads to items
+
+    def share(change):
+        texts = [f"{words(7)} {change(t)} {words(9)}" for t in items]
+        text, bounds, _ = decontaminate.normal(*flat(pa.array(texts)))
+        rows = [text[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        due = {(r, r) for r, x in enumerate(rows) if decontaminate.edit_distance(index.texts[r], x)[0] <= 0.2 * len(index.texts[r])}
+        return len(due), len(due & {(r, i) for r, i, *_ in decontaminate.hits(index, text, bounds)}) / len(due)
+
+    every = lambda t, step: "".join("x" if k % step == step // 2 else c for k, c in enumerate(t))
+    assert share(lambda t: t) == (150, 1.0)
+    for step in (12, 10, 8, 6):
+        due, found = share(lambda t, step=step: every(t, step))
+        assert due > 140 and found >= 0.97, (step, due, found)
+    for even in (True, False):
+        due, found = share(lambda t, even=even: edited(rng, t, 0.19, even))
+        assert due > 100 and found >= 0.95, (even, due, found)
+
+
 def test_short_items_and_scripts_without_spaces(spark):
     rng = np.random.default_rng(9)
     signs = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9F00, n)))
@@ -209,6 +234,20 @@ def test_many_passes_give_the_rows_of_one(spark, monkeypatch):
     assert many.columns == ["doc_id", "contaminated", "n_items", "item_ids", "similarity", "hits"]
 
 
+def test_many_passes_of_tables_and_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    words = lambda n: " ".join("".join(rng.choice(list("aeinorstlmdc"), 5)) for _ in range(n))
+    items = [words(20) for _ in range(6)]
+    docs = spark.createDataFrame([(i, t) for i in (1, 1, None) for t in (items[0], items[1] + " " + items[5], words(40), None)], "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0]), (5, items[5])], "item_id BIGINT, text STRING")  # repeated items count once
+    one = sorted(decontaminate.find_items(docs, bench).collect(), key=repr)
+    assert len(one) == 12 and sorted(r["item_ids"] for r in one if r["doc_id"] == 1) == [[], [], [], [], [0], [0], [1, 5], [1, 5]]
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 1)
+    many = decontaminate.find_items(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["n_items"], r["item_ids"], r["similarity"]) for r in many) == sorted((r["doc_id"] or 0, r["n_items"], r["item_ids"], r["similarity"]) for r in one)
+    assert decontaminate.find_items(docs.where("false"), bench).count() == 0
+
+
 def test_long_items_with_few_edits():
     rng = np.random.default_rng(10)
     items = [" ".join("".join(rng.choice(list("aeinorst"), 6)) for _ in range(n)) for n in (60, 400, 900)]
