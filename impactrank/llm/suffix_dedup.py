@@ -26,13 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import drop_table, prepare, shared_dir, write_table
 from ._text import mix, pieces, prefix_hash, range_hash, row_of
 from .suffix_array import equal_prefixes
 
-#: Bits of the filter of anchors that repeat (64 MB at most are broadcast), and bits of its parts.
-FILTER_BITS, PART_BITS = 1 << 29, 1 << 20
+#: The filter of anchors that repeat has 2**24 to 2**29 bits (64 MB are broadcast at most).
+FILTER_LOG = (24, 29)
+#: Rows whose anchors one group of the filter counts, about; slices in which its parts reach the driver.
+FILTER_ROWS, SLICES = 500, 512
 #: Distinct runs of an anchor that one group sorts at most, about; bytes sorted at once.
 GROUP, SORT_BYTES = 2048, 2 << 20
 
@@ -108,30 +111,39 @@ def shared_cores(text: np.ndarray, size: np.ndarray, anchor: np.ndarray, lead: n
 class _Repeats:
     def __init__(self, docs: DataFrame, length: int, id_col: str, text_col: str):
         self.spark = prepare(docs.sparkSession)
-        self.docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        named = docs.where(F.col(id_col).isNotNull())
+        # Rows of one id are told apart by their text, where there are any; else the second part of the key is 0.
+        self.repeats = not named.groupBy(id_col).count().where("count > 1").isEmpty()
+        self.key = F.xxhash64(text_col) if self.repeats else F.lit(0).cast("long")
+        self.docs = named.select(F.col(id_col).cast("long").alias("doc"), self.key.alias("key"), F.col(text_col).alias("text"))
         self.length, self.folder = length, shared_dir(docs.sparkSession)
 
     def repeated_anchors(self) -> np.ndarray:
-        """Bit map of anchor hashes that occur twice or more, in parts by the hash's high bits."""
+        """Bit map of anchor hashes that occur twice or more, in the order of hashes.
+
+        Hashes are dealt by their high bits to parts of bounded size, however many the
+        corpus needs; a part's bits are a stretch of the map.  A full map only lets more through.
+        """
         length = self.length
         rows = self.docs.count()
-        parts = min(FILTER_BITS // PART_BITS, max(16, 1 << int(np.ceil(np.log2(max(rows, 1) / 500 + 1)))))
-        shift = np.uint64(64 - int(np.log2(parts)))
+        bits = min(max(int(rows).bit_length() + 12, FILTER_LOG[0]), FILTER_LOG[1])
+        parts = min(max((rows // FILTER_ROWS).bit_length(), 9), bits - 3)
+        self.shift = place = np.uint64(64 - bits)
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
 
             def out() -> pa.RecordBatch:
                 h, c = np.unique(np.concatenate(held), return_counts=True)
-                cut = np.searchsorted(h, np.arange(parts, dtype=np.uint64) << shift)
-                cut = np.append(cut, len(h))
-                some = np.flatnonzero(np.diff(cut))
-                once = [h[cut[p] : cut[p + 1]][c[cut[p] : cut[p + 1]] == 1].tobytes() for p in some]
-                more = [h[cut[p] : cut[p + 1]][c[cut[p] : cut[p + 1]] > 1].tobytes() for p in some]
-                return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["part", "once", "more"])
+                part = (h >> np.uint64(64 - parts)).astype(np.int64)
+                first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(h) else np.zeros(0, np.int64)
+                cut = [*zip(first.tolist(), [*first[1:].tolist(), len(h)])]
+                once = [h[a:b][c[a:b] == 1].tobytes() for a, b in cut]
+                more = [h[a:b][c[a:b] > 1].tobytes() for a, b in cut]
+                return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["part", "once", "more"])
 
             for batch in batches:
-                for _, data, off in pieces(batch, "text", 2 << 20):
+                for _, data, off in pieces(batch, "text", 1 << 20):
                     held.append(runs(data, off, length)[0])
                     size += len(held[-1])
                     if size > 500_000:
@@ -140,50 +152,54 @@ class _Repeats:
             if held:
                 yield out()
 
-        def bits(group: pa.Table) -> pa.Table:
+        def marked(group: pa.Table) -> pa.Table:
             once = np.frombuffer(b"".join(group.column("once").to_pylist()), np.uint64)
             more = np.frombuffer(b"".join(group.column("more").to_pylist()), np.uint64)
             h, c = np.unique(np.concatenate([once, more, more]), return_counts=True)
-            on = np.zeros(PART_BITS, bool)
-            on[(h[c > 1] & np.uint64(PART_BITS - 1)).astype(np.int64)] = True
-            return pa.table({"part": group.column("part").slice(0, 1), "map": pa.array([np.packbits(on).tobytes()], pa.binary())})
-
-        seen = self.docs.mapInArrow(local, "part int, once binary, more binary").groupBy("part").applyInArrow(bits, "part int, map binary")
-        out = np.zeros((parts, PART_BITS // 8), np.uint8)
-        for row in seen.toLocalIterator():  # at most 64 MB in all
-            out[row["part"]] = np.frombuffer(row["map"], np.uint8)
-        self.shift = shift
+            part = group.column("part")[0].as_py()
+            on = np.zeros(1 << (bits - parts), bool)
+            on[((h[c > 1] >> place) - np.uint64(part << (bits - parts))).astype(np.int64)] = True
+            return pa.table({"part": pa.array([part]), "map": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+        seen = self.docs.mapInArrow(local, "part long, once binary, more binary").groupBy("part").applyInArrow(marked, "part long, map binary")
+        # At most 2**29 / SLICES bits in a slice, as 2**20 parts of one byte at most.
+        slices = seen.groupBy(F.expr(f"part div {max(1, (1 << parts) // SLICES)}").alias("slice")).agg(F.array_sort(F.collect_list(F.struct("part", "map"))).alias("parts"))
+        out, wide = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - parts - 3)
+        for row in slices.toLocalIterator():  # at most 64 MB in all
+            for x in row["parts"]:
+                out[x["part"] * wide : (x["part"] + 1) * wide] = np.frombuffer(x["map"], np.uint8)
         return out
 
     def candidates(self) -> DataFrame:
-        """(anchor, content, doc, start, windows, lead) of runs whose anchor repeats; lead is the anchor's offset."""
-        sent, shift, length = self.spark.sparkContext.broadcast(self.repeated_anchors()), self.shift, self.length
+        """(anchor, content, doc, key, start, windows, lead) of runs whose anchor repeats; lead is the anchor's offset."""
+        sent, length = self.spark.sparkContext.broadcast(self.repeated_anchors()), self.length
+        shift = self.shift
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = sent.value
             for batch in batches:
-                for part, data, off in pieces(batch, "text", 2 << 20):
+                for part, data, off in pieces(batch, "text", 1 << 20):
                     anchor, start, count, row, lead, running = runs(data, off, length)
-                    low = (anchor & np.uint64(PART_BITS - 1)).astype(np.int64)
-                    keep = (table[(anchor >> shift).astype(np.int64), low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
+                    bit = (anchor >> shift).astype(np.int64)
+                    keep = (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
                     anchor, start, count, row, lead = anchor[keep], start[keep], count[keep], row[keep], lead[keep]
                     content = range_hash(running, start, start + count - 1 + length)
-                    doc = part.column("doc").to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc[row]), pa.array(start - off[row]), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32))], ["anchor", "content", "doc", "start", "windows", "lead"])
+                    doc, key = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key"))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc[row]), pa.array(key[row]), pa.array(start - off[row]), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32))], ["anchor", "content", "doc", "key", "start", "windows", "lead"])
 
-        return self.docs.mapInArrow(run, "anchor long, content long, doc long, start long, windows int, lead int")
+        return self.docs.mapInArrow(run, "anchor long, content long, doc long, key long, start long, windows int, lead int")
 
     def duplicates(self) -> DataFrame:
-        """(doc, first, end): byte ranges to remove; they may overlap."""
+        """(doc, key, first, end): byte ranges to remove; they may overlap."""
         length = self.length
         held = write_table(self.candidates(), self.folder, "candidates")
-        firsts = write_table(held.groupBy("anchor", "content", "windows").agg(F.min(F.struct("doc", "start", "lead")).alias("at"), F.count("*").alias("n")), self.folder, "firsts")
+        firsts = write_table(held.groupBy("anchor", "content", "windows").agg(F.min(F.struct("doc", "key", "start", "lead")).alias("at"), F.count("*").alias("n")), self.folder, "firsts")
         more = firsts.where("n > 1").select("anchor", "content", "windows", "at")
-        copies = held.join(more, ["anchor", "content", "windows"]).where("doc <> at.doc OR start <> at.start").select("doc", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + length).alias("end"))
+        copies = held.join(more, ["anchor", "content", "windows"]).where("doc <> at.doc OR key <> at.key OR start <> at.start").select("doc", "key", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1 + length).alias("end"))
         copies = write_table(copies, self.folder, "copies")
         variants = firsts.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
-        open_ = firsts.join(variants, "anchor").select("anchor", "variants", F.col("at.doc").alias("doc"), F.col("at.start").alias("start"), "windows", F.col("at.lead").alias("lead"))
-        wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("anchor", "variants", "start", "windows", "lead")).alias("runs"))  # runs of one document
+        open_ = firsts.join(variants, "anchor").select("anchor", "variants", F.col("at.doc").alias("doc"), F.col("at.key").alias("key"), F.col("at.start").alias("start"), "windows", F.col("at.lead").alias("lead"))
+        wanted = open_.groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "variants", "start", "windows", "lead")).alias("runs"))  # runs of one document
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -204,17 +220,18 @@ class _Repeats:
                 part = np.concatenate([np.zeros(int((parts == 1).sum()), np.int64), np.array([p for _, p in out], np.int64)])
                 blob = data.tobytes()
                 texts = [blob[a:b] for a, b in zip(begin[which].tolist(), (begin[which] + windows[which] - 1 + length).tolist())]
-                doc = batch.column("doc").to_numpy()[row]
+                doc, key = batch.column("doc").to_numpy()[row], batch.column("key").to_numpy()[row]
                 for a in range(0, max(len(which), 1), 20_000):
                     s = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[which][s]), pa.array(part[s]), pa.array(parts[which][s].astype(np.int64)), pa.array(doc[which][s]), pa.array(start[which][s]), pa.array(texts[s], pa.binary()), pa.array(lead[which][s].astype(np.int64))], ["anchor", "part", "parts", "doc", "start", "text", "lead"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[which][s]), pa.array(part[s]), pa.array(parts[which][s].astype(np.int64)), pa.array(doc[which][s]), pa.array(start[which][s]), pa.array(texts[s], pa.binary()), pa.array(lead[which][s].astype(np.int64)), pa.array(key[which][s])], ["anchor", "part", "parts", "doc", "start", "text", "lead", "key"])
 
         def pieces_all(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             from ._text import flat
 
             return flat(batch.column("text"))
 
-        texts = self.docs.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(cut, "anchor long, part long, parts long, doc long, start long, text binary, lead long")
+        docs = self.docs.dropDuplicates(["doc", "key"]) if self.repeats else self.docs
+        texts = docs.join(wanted, ["doc", "key"]).select("doc", "key", "text", "runs").mapInArrow(cut, "anchor long, part long, parts long, doc long, start long, text binary, lead long, key long")
         dealt = texts.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
         def settle(rows: list[tuple]) -> pa.RecordBatch:
@@ -240,7 +257,8 @@ class _Repeats:
             s = np.insert(text.astype(np.int64) + 2, end, 1)
             group = equal_prefixes(s, start + own, length)
             doc, place = np.array([r[3] for r in rows], np.int64)[own], np.array([r[4] for r in rows], np.int64)[own] + start - (end - size)[own]
-            order = np.lexsort((place, doc, group))
+            key = np.array([r[7] for r in rows], np.int64)[own]
+            order = np.lexsort((place, key, doc, group))
             g = group[order]
             earlier = np.zeros(len(g), bool)
             earlier[1:] = (g[1:] == g[:-1])
@@ -249,12 +267,12 @@ class _Repeats:
             k = np.flatnonzero(hit)
             begin = k[np.append(True, (k[1:] != k[:-1] + 1) | (own[k[1:]] != own[k[:-1]]) | (place[k[1:]] != place[k[:-1]] + 1))] if len(k) else k
             stop = k[np.append((k[1:] != k[:-1] + 1) | (own[k[1:]] != own[k[:-1]]) | (place[k[1:]] != place[k[:-1]] + 1), True)] if len(k) else k
-            return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(place[begin]), pa.array(place[stop] + length)], ["doc", "first", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(key[begin]), pa.array(place[begin]), pa.array(place[stop] + length)], ["doc", "key", "first", "end"])
 
         def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, size, last = [], 0, None
             for batch in batches:
-                for r in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                for r in zip(*(batch.column(i).to_pylist() for i in range(8))):
                     if size > SORT_BYTES and (r[0], r[1]) != last:
                         yield settle(rows)
                         rows, size = [], 0
@@ -264,7 +282,7 @@ class _Repeats:
             if rows:
                 yield settle(rows)
 
-        sorted_out = write_table(dealt.mapInArrow(sort, "doc long, first long, end long"), self.folder, "sorted")
+        sorted_out = write_table(dealt.mapInArrow(sort, "doc long, key long, first long, end long"), self.folder, "sorted")
         return copies.unionByName(sorted_out)
 
 
@@ -279,6 +297,25 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def kept_bytes(text: bytes, ranges: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text, and the ranges removed."""
+    cut = merged([(x["first"], x["end"]) for x in ranges or ()])
+    at, left = 0, []
+    for a, b in cut:
+        left.append(text[at:a])
+        at = b
+    return b"".join([*left, text[at:]]), cut
+
+
+def _ranges(work: _Repeats) -> DataFrame:
+    """(doc, key, ranges) of documents that lose bytes; drops the scratch tables."""
+    found = work.duplicates().groupBy("doc", "key").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))  # ranges of one document
+    found = write_table(found, work.folder, "ranges")
+    for name in ("candidates", "firsts", "copies", "sorted"):
+        drop_table(work.spark, work.folder, name)
+    return found
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per input row: n_bytes, n_removed, n_spans, ``spans`` (removed byte ranges) and ``kept``.
 
@@ -287,14 +324,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     Matches never cross documents, overlapping ones count, and all are judged on the
     input.  ``kept`` holds the bytes left; with ``digest`` the columns spans and kept
     give way to ``kept_sha256``.  Texts shorter than ``length`` stay as they are.
-    Rows with an equal id are taken for one document; rows without an id have no row.
-    Other columns are left out.
+    Rows of one id and different texts are documents of their own, in an order of theirs;
+    repeated rows of one id and text are one document and each has its row.  Rows
+    without an id have no row.  Other columns are left out.
     """
     if length < 8:
         raise ValueError("length must be 8 or more")
     work = _Repeats(docs, length, id_col, text_col)
-    ranges = work.duplicates().groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))  # ranges of one document
-    ranges = write_table(ranges, work.folder, "ranges")
+    ranges = _ranges(work)
     tail = "kept_sha256 string" if digest else "spans array<struct<start: long, end: long>>, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,12 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 n, removed, spans, kept = np.diff(off), [], [], []
                 for i, found in enumerate(part.column("ranges").to_pylist()):
                     text = blob[off[i] : off[i + 1]]
-                    cut = merged([(x["first"], x["end"]) for x in found or ()])
-                    at, left = 0, []
-                    for a, b in cut:
-                        left.append(text[at:a])
-                        at = b
-                    left = b"".join([*left, text[at:]])
+                    left, cut = kept_bytes(text, found)
                     removed.append(len(text) - len(left))
                     spans.append(cut)
                     kept.append(hashlib.sha256(left).hexdigest() if digest else left)
@@ -322,7 +354,31 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                     out, names = [*out, as_rows, pa.array(kept, pa.binary())], [*names, "spans", "kept"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    held = work.docs.join(ranges, "doc", "left").select("doc", "text", "ranges")
-    for name in ("candidates", "firsts", "copies", "sorted"):
-        drop_table(work.spark, work.folder, name)
+    held = work.docs.join(ranges, ["doc", "key"], "left").select("doc", "text", "ranges")
     return held.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, {tail}")
+
+
+def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of docs with the bytes that remove_repeats() removes cut from the text, and ``_cut``: whether any were.
+
+    Halves of characters at a cut go as well.  Texts that lose nothing, null ones and
+    rows without an id stay as they are.
+    """
+    work = _Repeats(docs, length, id_col, text_col)
+    ranges = _ranges(work).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("ranges").alias("_ranges"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_cut", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = batch.schema.get_field_index(text_col), batch.column("_ranges").to_pylist()
+            hit = [i for i, x in enumerate(found) if x]
+            columns = batch.columns[:-1]
+            if hit:
+                texts = columns[at].to_pylist()
+                for i in hit:
+                    texts[i] = kept_bytes(texts[i].encode(), found[i])[0].decode("utf-8", "ignore")
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in found], pa.bool_())], [*batch.schema.names[:-1], "_cut"])
+
+    same = (F.col(id_col).cast("long") == F.col("_doc")) & (work.key == F.col("_key"))
+    return docs.join(ranges, same, "left").select(*docs.columns, "_ranges").mapInArrow(run, schema)
