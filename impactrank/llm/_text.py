@@ -8,11 +8,15 @@ single document, whichever is larger.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform.startswith("linux") else None
+
 #: Bytes of text that a kernel works on at once.
 CHUNK_BYTES = 4 << 20
 #: Rows that Spark puts into one Arrow batch for the text operators.
@@ -88,6 +92,14 @@ def pieces(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterat
         end = max(row + 1, int(np.searchsorted(off, off[row] + limit, "right")) - 1)
         yield batch.slice(row, end - row), data[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live as long as the executor and serve many tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def row_of(off: np.ndarray, positions: np.ndarray) -> np.ndarray:

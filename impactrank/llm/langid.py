@@ -210,6 +210,22 @@ def viterbi(emit: np.ndarray, row: np.ndarray, penalty: float) -> np.ndarray:
     return path[t, np.repeat(np.arange(nb), width)]
 
 
+def predictions(batches: Iterator[pa.RecordBatch], m: LanguageModel, text_col: str) -> Iterator[tuple]:
+    """(rows, row offsets, best language of each, its share, words as (start, end, row, language)) of runs of rows."""
+    k = len(m.languages)
+    for batch in batches:
+        for part, data, off in pieces(batch, text_col, 1 << 20):
+            n = part.num_rows
+            at, end, row, script, low = words(data, off)
+            if not k:
+                at, end, row, script = at[:0], end[:0], row[:0], script[:0]
+            path = viterbi(emissions(m, at, end, script, low), row, m.switch) if len(at) else np.zeros(0, np.int64)
+            mass = np.bincount(row * max(k, 1) + path, weights=end - at, minlength=n * max(k, 1)).reshape(n, -1)
+            total = mass.sum(1)
+            best = np.where(total > 0, mass.argmax(1), k)
+            yield part, off, best, np.where(total > 0, mass.max(1) / np.maximum(total, 1), 0.0), (at, end, row, path)
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """One row per input row: lang_pred, score (share of word bytes in that language), and with ``spans`` the labelled spans (byte start, end, lang).
 
@@ -223,30 +239,29 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     schema = f"{id_col} long, lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        names = np.array([*m.languages, UNKNOWN], object)
-        k = len(m.languages)
-        for batch in batches:
-            for part, data, off in pieces(batch, text_col, 2 << 20):
-                n = part.num_rows
-                at, end, row, script, low = words(data, off)
-                if not k:
-                    at, end, row, script = at[:0], end[:0], row[:0], script[:0]
-                path = viterbi(emissions(m, at, end, script, low), row, m.switch) if len(at) else np.zeros(0, np.int64)
-                mass = np.bincount(row * max(k, 1) + path, weights=end - at, minlength=n * max(k, 1)).reshape(n, -1)
-                total = mass.sum(1)
-                best = np.where(total > 0, mass.argmax(1), k)
-                score = np.where(total > 0, mass.max(1) / np.maximum(total, 1), 0.0)
-                out = [part.column(id_col).cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(score)]
-                fields = [id_col, "lang_pred", "score"]
-                if spans:
-                    new = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (row[1:] != row[:-1]))) if len(path) else np.zeros(0, np.int64)
-                    stop = end[np.append(new[1:], len(path)) - 1] if len(new) else new
-                    base = off[row[new]]
-                    parts = [pa.array(at[new] - base), pa.array(stop - base), pa.array(names[path[new]], pa.string())]
-                    bounds = np.searchsorted(row[new], np.arange(n + 1)).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(parts, ["start", "end", "lang"])))
-                    fields.append("spans")
-                yield pa.RecordBatch.from_arrays(out, fields)
+        names = np.array([*sent.value.languages, UNKNOWN], object)
+        for part, off, best, score, (at, end, row, path) in predictions(batches, sent.value, text_col):
+            out = [part.column(id_col).cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(score)]
+            fields = [id_col, "lang_pred", "score"]
+            if spans:
+                new = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (row[1:] != row[:-1]))) if len(path) else np.zeros(0, np.int64)
+                stop = end[np.append(new[1:], len(path)) - 1] if len(new) else new
+                base = off[row[new]]
+                parts = [pa.array(at[new] - base), pa.array(stop - base), pa.array(names[path[new]], pa.string())]
+                bounds = np.searchsorted(row[new], np.arange(part.num_rows + 1)).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(parts, ["start", "end", "lang"])))
+                fields.append("spans")
+            yield pa.RecordBatch.from_arrays(out, fields)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows whose text identify() does not call ``und``, with all their columns; rows are judged where they are."""
+    sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, best, _, _ in predictions(batches, sent.value, text_col):
+            yield part.filter(pa.array(best < len(sent.value.languages)))
+
+    return docs.mapInArrow(run, docs.schema)

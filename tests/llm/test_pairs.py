@@ -172,7 +172,8 @@ def test_removal_outputs_and_edges(spark):
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "LEAST", 50)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 3)  # more than one block
+    monkeypatch.setattr(topk_search, "CHUNK_ROWS", 64)
     rng = np.random.default_rng(10)
     x = rng.normal(0, 0.2, (400, 16)).astype(np.float32)
     x[100:200] = x[7]
@@ -197,8 +198,56 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk_search.top_k(df.where("false"), df.where("false")).count() == 0
 
 
-def test_few_exact_vectors_are_read():
+def test_removal_of_rows_with_one_id_and_very_long_texts(spark):
+    rng = random.Random(31)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, long = prose(150), prose(300_000)
+    rows = [(0, prose(200) + passage), (1, passage + prose(180)), (1, prose(330)), (2, long), (3, prose(50) + long[1000:260_000]), (4, "x"), (4, "x")]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), 100).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in out) == [(0, 350, 0), (1, 330, 0), (1, 330, 150), (2, 300_000, 0), (3, 259_050, 259_000), (4, 1, 0), (4, 1, 0)]
+    doubled = suffix_dedup.remove_repeats(spark.createDataFrame([(0, passage), (0, passage), (1, passage)], "doc_id BIGINT, text STRING"), 100).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in doubled) == [(0, 0), (0, 0), (1, 150)]
+
+
+def brute_top(candidates, queries, k):
+    """(query, rank, candidate, score) by whole numbers of any size."""
+    whole = lambda v: None if v is None or any(x is None or not np.isfinite(x) for x in v) else [int(np.floor(256.0 * x)) for x in v]
+    out = []
+    for q, v in queries:
+        if whole(v):
+            best = sorted((-sum(a * b for a, b in zip(whole(v), whole(w))), c) for c, w in candidates if c != q and whole(w) and len(w) == len(v))
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best[:k])]
+    return sorted(out)
+
+
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    rows = [(0, [3e6, 1.0]), (1, [2e6, 0.0]), (2, [5e6, 0.0]), (3, [-4e6, 7.5]), (4, [1e-3, -2.0]), (5, [9e15, 1.0]), (6, [9e15, 1.5]), (6, [9e15, 1.5]), (7, [0.0, 0.0]), (8, [])]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id BIGINT, embedding ARRAY<DOUBLE>, id INT, row INT")
+    asked = spark.createDataFrame([(i, v) for i, v in rows if i in (0, 4, 6, 7)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    held = lambda s: max(min(s, 2**63 - 1), -(2**63))
+    want = [(q, r, c, held(s)) for q, r, c, s in brute_top(rows, [x for x in rows if x[0] in (0, 4, 6, 7)], 4)]
+    got = topk_search.top_k(df, asked, 4).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+    small = topk_search.top_k(df.where("vec_id IN (1, 2)"), asked.where("vec_id = 0"), 5).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in small) == [(1, 2, 983040000000000000), (2, 1, 393216000000000000)]
+
+
+def test_order_of_whole_numbers():
+    numbers = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 2**200, -(2**200), 2**200 + 1]
+    assert sorted(numbers, key=topk_search.sortable) == sorted(numbers)
+
+
+def test_few_exact_vectors_are_read(spark, monkeypatch):
     rng = np.random.default_rng(11)
-    block = topk_search.ApproximationFile(np.arange(5000), rng.integers(-200, 200, (5000, 32)))
-    block.top(np.array([-1]), rng.integers(-200, 200, (1, 32)), 5)
-    assert block.read < 500
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(0, 1, (3000, 32)).tolist())], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    read = spark.sparkContext.accumulator(0)
+    exact = topk_search.exact_scores
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield from exact(iter([batch]))
+
+    monkeypatch.setattr(topk_search, "exact_scores", counted)
+    topk_search.top_k(df, df.where("vec_id < 3"), 5).collect()
+    assert read.value < 600
