@@ -20,7 +20,7 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import prepare, shared_dir, write_table
@@ -102,14 +102,26 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     """Write every page as a record; returns the captures (key, page, file, at, size).
 
     Of pages with equal payloads of ``min_bytes`` at least, that of the largest id is a
-    response and the others revisit it; smaller payloads are all responses.  Each
+    response and the others revisit it; smaller payloads are all responses.  Of rows
+    that repeat the largest id, the first by URL is the response.  Each
     task writes files of its own name; the captures are written once, so files of
     a task that was lost are not referred to.
     """
     spark = prepare(pages.sparkSession)
-    p = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    kept = p.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
-    linked = p.join(kept, "sha", "left").select("page", "url", "html", F.when((F.col("keeper") != F.col("page")) & (F.octet_length("html") >= min_bytes), F.col("keeper")).alias("other"))
+    html, size = F.coalesce(html_col, F.lit("")), F.octet_length(F.coalesce(html_col, F.lit("")))
+    p = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    # Equal payloads are found among (page, sha) alone; payloads move by page and sha, so a payload that many pages have is dealt out.
+    brief = pages.where(F.col(id_col).isNotNull() & (size >= min_bytes)).select(F.col(id_col).cast("long").alias("page"), F.sha1(html.cast("binary")).alias("sha"))
+    brief = write_table(brief.groupBy("page", "sha").agg(F.count("*").alias("rows")), folder, "payloads")
+    kept = brief.groupBy("sha").agg(F.max("page").alias("keeper"), F.sum("rows").alias("n")).where("n > 1").select("sha", "keeper")
+    pairs = brief.join(kept, "sha")
+    others = pairs.where("page <> keeper").select("page", "sha", F.col("keeper").alias("other"))
+    linked = p.join(others, ["page", "sha"], "left").select("page", "url", "html", "other")
+    doubled = pairs.where("page = keeper AND rows > 1").select("page", "sha")
+    if not doubled.isEmpty():  # rows that repeat the response: the first by URL stays one, the rest revisit it
+        place = F.row_number().over(Window.partitionBy("page", "sha").orderBy("url"))
+        again = p.join(doubled, ["page", "sha"], "left_semi").select("page", "url", "html", F.when(place > 1, F.col("page")).alias("other"))
+        linked = p.join(doubled, ["page", "sha"], "left_anti").join(others, ["page", "sha"], "left").select("page", "url", "html", "other").unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
@@ -199,7 +211,12 @@ def lookup(spark: SparkSession, folder: str, url: str) -> list[Record]:
 
 
 def read_archives(directory: DataFrame, folder: str, payload: bool = True) -> DataFrame:
-    """Read all records through the index: blocks by range, then records by range in archive order."""
+    """Read all records through the index: blocks by range, then records by range in archive order.
+
+    Tasks are as many as the archives have READ_BYTES.
+    """
+    total = directory.sparkSession.read.parquet(f"{folder}/captures").agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-total // READ_BYTES))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
@@ -231,9 +248,9 @@ def read_archives(directory: DataFrame, folder: str, payload: bool = True) -> Da
             held.close()
 
     # Salted by place, so that the few rows of a directory spread over all tasks.
-    blocks = directory.select("file", "at", "size").repartition("file", "at")
+    blocks = directory.select("file", "at", "size").repartition(max(1, min(tasks, directory.count())), "file", "at")
     where = blocks.mapInArrow(entries, "file string, at long, size long")
-    dealt = where.repartition("file", F.expr(f"at div {READ_BYTES}")).sortWithinPartitions("file", "at")
+    dealt = where.repartition(tasks, "file", F.expr(f"at div {READ_BYTES}")).sortWithinPartitions("file", "at")
     return dealt.mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string" + ", payload binary" * payload)
 
 
@@ -243,7 +260,7 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0, payload: bool = Tru
     One row per input row: page_id, payload_bytes and payload_digest (of the full
     payload), record_type, refers_to (null for responses), target_uri, payload (null
     for revisits).  Null html is an empty payload, a null URL is about:blank.  Of repeated
-    rows with the largest id all are responses; rows without an id are left out.  An empty table gives an empty result.
+    rows with the largest id one is the response and the others revisit it; rows without an id are left out.  An empty table gives an empty result.
     """
     folder = shared_dir(prepare(pages.sparkSession))
     return read_archives(write_index(write_archives(pages, folder, min_bytes, **columns), folder), folder, payload)
