@@ -57,33 +57,59 @@ def stages(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, stage): rows in order of (stage, turn, call_id) never precede what they depend on.
 
     A conversation whose calls depend on earlier turns only is in order as it is: stage 0.
-    In others each call's stage is 1 plus the largest stage among its dependencies; these
-    take one join per level, over the conversations concerned alone.  Calls on a cycle, or
+    In others each call's stage is 1 plus the largest stage among its dependencies.
+    Chains of calls with one dependency are followed by pointer doubling, so a chain
+    takes rounds by the logarithm of its length; calls with several dependencies are
+    placed level by level, over the conversations concerned alone.  Calls on a cycle, or
     behind one, have a null stage.  Dependencies on unknown calls do not count.
     """
     needs = calls.select("conv_id", "call_id", "turn", F.explode("depends_on").alias("on")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn"))
-    edges = needs.join(known, ["conv_id", "on"])
+    edges = needs.join(known.hint("shuffle_hash"), ["conv_id", "on"])
     late = edges.where("on_turn >= turn").select("conv_id").distinct()
     in_order = calls.join(late, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).cast("long").alias("stage"))
     if late.isEmpty():
         return in_order
-    folder = shared_dir(calls.sparkSession)
-    nodes = write_table(calls.join(late, "conv_id", "left_semi").select("conv_id", "call_id"), folder, "nodes")
-    edges = write_table(edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "on"), folder, "edges")
-    placed, step = None, 0
-    while True:
+    key, folder = ["conv_id", "call_id"], shared_dir(calls.sparkSession)
+    nodes = write_table(calls.join(late, "conv_id", "left_semi").select(*key), folder, "nodes")
+    edges = write_table(edges.join(late, "conv_id", "left_semi").select(*key, "on"), folder, "edges")
+    degree = edges.groupBy(*key).agg(F.count("*").alias("needs"), F.first("on").alias("on"))
+    one = degree.where("needs = 1").select(*key, F.col("on").alias("head"), F.lit(1).cast("long").alias("steps"))
+    one = write_table(one, folder, "chains_0")
+    length, rounds = one.count(), 0
+    while 1 << rounds < 2 * length:  # then every pointer has passed all chains that end
+        rounds += 1
+        further = one.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("_head"), F.col("steps").alias("_steps"))
+        jumped = one.join(further.hint("shuffle_hash"), ["conv_id", "head"], "left")
+        one = jumped.select(*key, F.coalesce("_head", "head").alias("head"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_head").isNotNull().alias("moved"))
+        one = write_table(one, folder, f"chains_{rounds}")
+        moved = not one.where("moved").isEmpty()
+        one = one.drop("moved")
+        if not moved:
+            break
+    # Dependencies of calls with several, on the heads of chains: calls with none or several themselves.
+    heads = one.select("conv_id", F.col("call_id").alias("on"), "head", "steps")
+    several = edges.join(one.select(*key), key, "left_anti").join(heads.hint("shuffle_hash"), ["conv_id", "on"], "left")
+    waits = write_table(several.select(*key, F.coalesce("head", "on").alias("head"), F.coalesce("steps", F.lit(0)).alias("steps")), folder, "waits_0")
+    free = nodes.join(degree.select(*key), key, "left_anti").withColumn("stage", F.lit(1).cast("long"))
+    placed, step = write_table(free, folder, "placed_0"), 0
+    last = placed
+    while not waits.isEmpty():
         step += 1
-        waits = edges.select("conv_id", "call_id").distinct()
-        free = nodes.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("stage", F.lit(step).cast("long"))
-        free = write_table(free, folder, f"free_{step}")
-        if free.isEmpty():
+        ready = last.select("conv_id", F.col("call_id").alias("head"), "stage")
+        known = waits.join(ready.hint("shuffle_hash"), ["conv_id", "head"], "left")
+        known = known.select(*key, "head", "steps", F.coalesce(F.col("stage") + F.col("steps"), F.col("at") if "at" in waits.columns else F.lit(None).cast("long")).alias("at"))
+        known = write_table(known, folder, f"waits_{step}")
+        done = known.groupBy(*key).agg(F.count(F.when(F.col("at").isNull(), 1)).alias("open"), (F.max("at") + 1).alias("stage")).where("open = 0")
+        last = write_table(done.select(*key, "stage"), folder, f"placed_{step}")
+        if last.isEmpty():
             break
-        placed = free if placed is None else placed.unionByName(free)
-        nodes = write_table(nodes.join(free, ["conv_id", "call_id"], "left_anti"), folder, f"nodes_{step}")
-        edges = write_table(edges.join(free.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti").select("conv_id", "call_id", "on"), folder, f"edges_{step}")
-    stuck = nodes.withColumn("stage", F.lit(None).cast("long"))
-    return in_order.unionByName(stuck if placed is None else placed.unionByName(stuck))
+        placed = placed.unionByName(last)
+        waits = known.join(last.select(*key), key, "left_anti")
+    ends = placed.select("conv_id", F.col("call_id").alias("head"), F.col("stage").alias("_stage"))
+    chained = one.join(ends.hint("shuffle_hash"), ["conv_id", "head"]).select(*key, (F.col("_stage") + F.col("steps")).alias("stage"))
+    placed = placed.unionByName(chained)
+    return in_order.unionByName(nodes.join(placed.hint("shuffle_hash"), key, "left").select(*key, "stage"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
@@ -103,11 +129,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     pick = lambda df, *cols: df.groupBy(*key).agg(F.min(F.struct("turn", *cols)).alias("x"), F.count("*").alias("rows"))
     first_c = pick(c.where(named), "name", "arguments", "depends_on").select(*key, "x.*", F.col("rows").alias("call_rows"))
     first_r = pick(r.where(named), "content").select(*key, F.col("x.turn").alias("result_turn"), F.col("x.content").alias("content"), F.col("rows").alias("result_rows"))
-    placed = first_c.join(stages(first_c), key)
+    placed = first_c.join(stages(first_c).hint("shuffle_hash"), key)
     # The number of dependencies that are not known.
     on = first_c.select(*key, F.explode(F.array_distinct("depends_on")).alias("on"))
     lost = on.join(first_c.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti").groupBy(*key).agg(F.count("*").alias("lost"))
-    both = placed.join(lost, key, "left").join(first_r, key, "full_outer")
+    both = placed.join(lost.hint("shuffle_hash"), key, "left").join(first_r.hint("shuffle_hash"), key, "full_outer")
     parsed = "try_parse_json(arguments)"
     wrong = F.concat(
         problems(F.col("name"), parsed, schemas),
