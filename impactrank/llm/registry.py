@@ -101,6 +101,37 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_jaccard_join, op4_best_fit_packing, op5_warc, op6_suffix_dedup, op7_decontaminate, op8_tool_calls, op9_token_counts, op10_exact_top_k, pipeline)}
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+     n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS same FROM g GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+     e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+     l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+     r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+     c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a),
+     k AS (SELECT same, min(doc_id) AS class_id FROM n GROUP BY same)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.class_id, w.doc_id) AS class_id, coalesce(c.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (same) LEFT JOIN c USING (doc_id)""",
+    "op5_warc": """
+WITH b AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages WHERE page_id IS NOT NULL),
+     k AS (SELECT sha, max(page_id) AS keeper FROM b GROUP BY sha)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha, 1 + 10 * (i // 8), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM b JOIN k USING (sha)""",
+    "op6_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+     s AS (SELECT doc_id, CAST(unnest(range(octet_length(b) - 99)) AS BIGINT) AS i FROM d WHERE octet_length(b) >= 100),
+     h AS (SELECT doc_id, i, md5(hex(b[i + 1:i + 100])) AS h FROM s JOIN d USING (doc_id)),
+     t AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM h) WHERE k > 1),
+     o AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 AS fresh FROM t),
+     u AS (SELECT doc_id, i, sum(CASE WHEN fresh IS NULL OR fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+     x AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM u GROUP BY ALL),
+     y AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM x),
+     v AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(hex(b[before + 1:a]) || CASE WHEN after IS NULL THEN hex(b[z + 1:]) ELSE '' END, '' ORDER BY a) AS kept FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN v USING (doc_id)""",
     "op8_tool_calls": """
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
      c AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, text, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS dep

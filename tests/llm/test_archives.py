@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 
 from impactrank.llm import tool_calls, warc
 from impactrank.llm._spark import shared_dir
@@ -27,6 +28,14 @@ def test_round_trip(spark):
     assert warc.archive_round_trip(pages(spark).where("false")).count() == 0
 
 
+def test_repeated_rows_have_one_response(spark):
+    rows = [(7, "http://b", "same"), (7, "http://a", "same"), (7, "http://c", "other"), (3, "http://d", "same"), (3, "http://d", "same")]
+    out = warc.archive_round_trip(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect()
+    digest = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    assert sorted((r["page_id"], r["payload_digest"] == digest(b"same"), r["record_type"], r["refers_to"] or 0) for r in out) == [(3, True, "revisit", 7), (3, True, "revisit", 7), (7, False, "response", 0), (7, True, "response", 0), (7, True, "revisit", 7)]
+    assert [r["target_uri"] for r in out if r["record_type"] == "response" and r["payload_digest"] == digest(b"same")] == ["http://a"]
+
+
 def test_lookup_reads_by_key(spark):
     folder = shared_dir(spark)
     many = spark.createDataFrame([(i, f"http://h{i % 7}.example.com/p{i % 50}", f"<p>{i}</p>") for i in range(400)], "page_id BIGINT, url STRING, html STRING")
@@ -71,6 +80,44 @@ def test_link_order_validate(spark):
     assert by[1, "x", "repeat", 8]["errors"] == ["call: repeated"] and sum(x["kind"] == "repeat" for x in out) == 2
 
 
+def brute_stages(deps):
+    """Stage of each call of one conversation that is out of order."""
+    got = {}
+    for _ in range(len(deps) + 1):
+        for k, on in deps.items():
+            if k not in got and all(d in got for d in on if d in deps):
+                got[k] = 1 + max([got[d] for d in on if d in deps], default=0)
+    return {k: got.get(k) for k in deps}
+
+
+def test_stages_equal_brute_force_and_long_chains_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for conv in range(12):
+        names = [f"k{i}" for i in range(rng.randint(2, 14))]
+        deps = {k: sorted({rng.choice([*names, "?"]) for _ in range(rng.choice([0, 1, 1, 2, 3]))} - ({k} if rng.random() < 0.8 else set())) for k in names}
+        rows += [(conv, 50 - i if conv % 2 else i, k, "noop", "{}", deps[k]) for i, k in enumerate(names)]
+        turn = {k: (50 - i if conv % 2 else i) for i, k in enumerate(names)}
+        late = any(turn[d] >= turn[k] for k in names for d in deps[k] if d in turn)
+        want |= {(conv, k): s if late else 0 for k, s in brute_stages(deps).items()}
+    chain = 300
+    rows += [(99, chain - i, f"c{i}", "noop", "{}", [f"c{i - 1}"] if i else []) for i in range(chain)]
+    want |= {(99, f"c{i}"): i + 1 for i in range(chain)}
+    written = []
+    keep = tool_calls.write_table
+    monkeypatch.setattr(tool_calls, "write_table", lambda df, folder, name: written.append(name) or keep(df, folder, name))
+    got = {(r["conv_id"], r["call_id"]): r["stage"] for r in tool_calls.stages(calls(spark, rows)).collect()}
+    assert got == want and len(written) < 40
+
+
+def test_link_of_clashing_columns_and_long_texts(spark):
+    long = "x" * 200_000
+    c = spark.createDataFrame([(1, 0, "a", "add", '{"a": 1, "b": 2, "note": "' + long + '"}', [], "k", 5)], tool_calls.CALL + ", stage string, rows long")
+    r = spark.createDataFrame([(1, 1, "a", long, "z", 1)], tool_calls.RESULT + ", line string, turn_ long")
+    out = {x["kind"]: x for x in tool_calls.link(c, r, SCHEMAS).collect()}
+    assert out["call"]["errors"] == [] and len(out["call"]["line"]) > 200_000 and json.loads(out["result"]["line"])["content"] == long
+
+
 def test_parse_messages_and_empty(spark):
     m = spark.createDataFrame([(1, 0, "assistant", '{"tool_calls": [{"id": "k", "name": "noop", "arguments": {"z": 1, "a": [2]}, "depends_on": ["j"]}]}'), (1, 1, "tool", '{"tool_call_id": "k", "content": "done"}'), (1, 2, "user", "hello {"), (1, 3, "assistant", None)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
     c, r = tool_calls.parse_messages(m)
