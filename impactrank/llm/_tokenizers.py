@@ -14,6 +14,7 @@ import unicodedata
 import numpy as np
 
 from ._bpe import PairTable, merge_all
+from ._prefixes import SPACE, PrefixProgram
 from ._text import SegmentCache, prefix_hash, range_hash, row_of
 
 #: Segments longer than this are encoded by the library and not kept.
@@ -151,25 +152,48 @@ class WordTokenizer:
 
 
 class PieceCounter:
-    """Token counts of a sentencepiece BPE model, by space-led segments.
+    """Token counts of a sentencepiece BPE model at every prefix, by space-led segments.
 
     No piece of such a model has a space mark after another character, so no merge
-    crosses the start of a run of spaces and counts add up over segments.
+    crosses the start of a run of spaces and counts add up over segments.  A segment's
+    own prefixes are counted by PrefixProgram, once for all texts.
     """
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        inner = re.compile("[^▁]▁")
+        inner = re.compile("[^\u2581]\u2581")
         self.splits = not any(inner.search(self.library.id_to_piece(i)) for i in range(self.library.get_piece_size()))
-        self.cache = SegmentCache(self._count)
+        self.program = PrefixProgram(self.library)
+        self.cache = SegmentCache(self._segments)
 
-    def _count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """One "id" for each segment: its number of tokens (a segment's first space is the model's own)."""
-        got = self.library.encode([t[1:].decode("utf-8", "replace") for t in texts], num_threads=1)
+    def text_prefixes(self, text: str) -> list[int]:
+        """Tokens of the prefixes of one whole text, of one character or more."""
+        got = self.program.counts(SPACE + text.replace(" ", SPACE)) if "\0" not in text else None
+        if got is not None and got[-1:] == [max(len(self.library.encode(text)), int(not text))]:
+            return got[1:]
+        return [len(x) for x in self._encoded([text[:p] for p in range(1, len(text) + 1)])]
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        """About a million characters at once."""
+        out, step = [], max(1, 1_000_000 // max(max(map(len, texts), default=1), 1))
+        for k in range(0, len(texts), step):
+            out += self.library.encode(texts[k : k + step], num_threads=1)
+        return out
+
+    def _segments(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts at each character of each segment (its first space included), and how many; the library agrees on the last."""
+        words = [t[1:].decode("utf-8", "replace") for t in texts]
         # A lone space is its mark; without the model's own space nothing is left to encode.
-        return np.maximum(np.fromiter(map(len, got), np.int64, len(texts)), 1), np.ones(len(texts), np.int64)
+        totals = [max(len(x), 1) for x in self._encoded(words)]
+        found: list[list[int]] = [[]] * len(words)
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            got = self.program.counts(SPACE + words[k].replace(" ", SPACE))
+            if got is None or got[-1] != totals[k]:
+                got = [1, *(len(x) for x in self._encoded([words[k][:p] for p in range(1, len(words[k]) + 1)]))]
+            found[k] = got
+        return np.fromiter((c for x in found for c in x), np.int64), np.fromiter(map(len, found), np.int64, len(found))
 
     def segments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text with a space before each row, and each segment's start, end and row in it."""
@@ -187,41 +211,55 @@ class PieceCounter:
         return own, at, np.append(at[1:], len(own)), row_of(np.append(first, len(own)), at)
 
     def prefix_totals(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dynamic program over segments: (end byte in the row, tokens up to there, row).
+        """The same table as (byte end in the row, tokens up to there, row) of each character."""
+        counts, ends, bounds = self.prefix_table(data, off)
+        return ends, counts, np.repeat(np.arange(len(off) - 1), np.diff(bounds))
 
-        The total at a segment's end is the total at the previous end plus the
-        segment's own count.  Rows that the segmentation does not model (a literal
-        space mark or a NUL) have one entry, made by the library.
+    def prefix_table(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens up to each character, the byte end of each character in its row, and row bounds of both.
+
+        The count at a character is the total of the segments before plus the count in
+        its own.  Rows that the segmentation does not model (a literal space mark or a NUL)
+        go through the program, or the library, whole.
         """
         n = len(off) - 1
-        own, at, end, row = self.segments(data, off)
-        empty = off[1:] == off[:-1]
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        bounds = np.searchsorted(starts, off)
+        row_of_char = np.repeat(np.arange(n), np.diff(bounds))
+        ends = np.append(starts[1:], len(data)) - off[row_of_char] if len(starts) else starts
         if not self.splits:
-            strange = np.flatnonzero(~empty)
+            strange = np.flatnonzero(off[1:] > off[:-1])
         else:
             mark = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.zeros(0, np.int64)
             strange = np.unique(row_of(off, np.sort(np.concatenate([mark, np.flatnonzero(data == 0)]))))
-        skip = empty.copy()
+        own, at, end, row = self.segments(data, off)
+        skip = off[1:] == off[:-1]
         skip[strange] = True
         keep = ~skip[row]
         at, end, row = at[keep], end[keep], row[keep]
-        counts = np.zeros(len(at), np.int64)
-        long = end - at > LONGEST_KEPT
-        key = range_hash(prefix_hash(own), at, end)
-        first, _ = self.cache.lookup(key[~long], own, at[~long], end[~long])
-        counts[~long] = self.cache.ids[first]
-        for k in np.flatnonzero(long):
-            counts[k] = self._count([own[at[k] : end[k]].tobytes()])[0][0]
-        total = np.cumsum(counts)
-        begin = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
-        before = (total - counts)[begin]
-        total -= np.repeat(before, np.diff(np.append(np.flatnonzero(begin), len(row))))
-        stop = end - 1 - row - off[row]
-        if len(strange):
-            texts = [data[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace") for r in strange]
-            got = [len(x) for x in self.library.encode(texts, num_threads=1)]
-            order = np.argsort(np.concatenate([row, strange]), kind="stable")
-            stop = np.concatenate([stop, off[strange + 1] - off[strange]])[order]
-            total = np.concatenate([total, got])[order]
-            row = np.concatenate([row, strange])[order]
-        return stop, total, row
+        counts = np.zeros(len(starts), np.int64)
+        if len(at):
+            long = end - at > LONGEST_KEPT
+            key = range_hash(prefix_hash(own), at, end)
+            sizes, parts = np.zeros(len(at), np.int64), {}
+            first, sizes[~long] = self.cache.lookup(key[~long], own, at[~long], end[~long])
+            for k in np.flatnonzero(long).tolist():
+                parts[k], (sizes[k],) = self._segments([own[at[k] : end[k]].tobytes()])
+            inside = np.zeros(int(sizes.sum()), np.int64)
+            into = np.repeat(long, sizes)
+            inside[~into] = self.cache.gather(first, sizes[~long])
+            if parts:
+                inside[into] = np.concatenate([parts[k] for k in sorted(parts)])
+            stop = np.cumsum(sizes)
+            total = inside[stop - 1]
+            run = np.cumsum(total)
+            new = np.append(True, row[1:] != row[:-1])
+            before = run - total - np.repeat((run - total)[new], np.diff(np.append(np.flatnonzero(new), len(row))))
+            inside += np.repeat(before, sizes)
+            real = np.ones(len(inside), bool)
+            real[(stop - sizes)[new]] = False  # the space that the model puts before a text
+            counts[~skip[row_of_char]] = inside[real]
+        for r in strange.tolist():
+            text = data[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace")
+            counts[bounds[r] : bounds[r + 1]] = self.text_prefixes(text)
+        return counts, ends, bounds

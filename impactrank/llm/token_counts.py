@@ -25,52 +25,16 @@ def counter(model: bytes) -> PieceCounter:
     return _counters[key]
 
 
-def _each_prefix(lib, text: str) -> list[int]:
-    """Tokens of every prefix of one character or more, about a million characters of prefixes at once."""
-    out, step = [], max(1, 1_000_000 // max(len(text), 1))
-    for first in range(1, len(text) + 1, step):
-        out += [len(x) for x in lib.encode([text[:p] for p in range(first, min(first + step, len(text) + 1))])]
-    return out
-
-
 class PrefixTable:
     """Exact token count at every prefix of one text, for a sentencepiece BPE model.
 
-    ``count[p]`` is the number of tokens of the first ``p`` characters.  The program
-    runs over segments (a run of spaces and what follows): the count inside a
-    segment is the total of the segments before plus that of the segment's own
-    prefix, and a segment's prefixes are encoded once for all texts.
-    Empty text: one entry, 0.
+    ``count[p]`` is the number of tokens of the first ``p`` characters.  Empty text: one
+    entry, 0.
     """
 
-    _seen: dict[tuple[int, str], list[int]] = {}
-
     def __init__(self, text: str | None, model: bytes):
-        text = text or ""
-        lib = counter(model).library
-        if not counter(model).splits or "▁" in text or "\0" in text:
-            self.count = [0, *_each_prefix(lib, text)]
-            return
-        self.count, before, at = [0], 0, 0
-        while at < len(text):
-            end = at
-            while end < len(text) and text[end] == " ":
-                end += 1
-            while end < len(text) and text[end] != " ":
-                end += 1
-            # The model puts one space before a text; later segments bring their own.
-            segment = text[at:end] if at == 0 else text[at + 1 : end]
-            key = (hash(model), segment if at == 0 else "\1" + segment)
-            inside = self._seen.get(key)
-            if inside is None:
-                inside = _each_prefix(lib, segment)
-                if at:
-                    inside = [1, *inside]
-                if len(self._seen) > 100_000:
-                    self._seen.clear()
-                self._seen[key] = inside
-            self.count += [before + c for c in inside]
-            before, at = self.count[-1], end
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        self.count = [0, *counter(model).prefix_table(raw, np.array([0, len(raw)]))[0].tolist()]
 
     def tokens(self, prefix: int | None = None) -> int:
         """Tokens of the first ``prefix`` characters (all, if none is given)."""
@@ -80,52 +44,46 @@ class PrefixTable:
         """The longest prefix, in characters, of at most ``budget`` tokens."""
         return max(p for p, c in enumerate(self.count) if c <= budget)
 
-    def runs(self, text: str) -> tuple[list[int], list[int]]:
-        """(byte ends, tokens) of the runs of neighbouring prefixes, from one character on, with equal counts."""
-        last = [p for p in range(1, len(self.count)) if p + 1 == len(self.count) or self.count[p + 1] != self.count[p]]
-        ends, size, before = [], 0, 0
-        for p in last:
-            size += len(text[before:p].encode())
-            before = p
-            ends.append(size)
-        return ends, [self.count[p] for p in last]
-
 
 def prefix_totals(docs: DataFrame, model_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", keep_prefixes: bool = False) -> DataFrame:
-    """One row per input row: bytes, tokens, and whether the tokens exceed ``limit``.
+    """One row per input row: bytes, tokens, whether they exceed ``limit``, and where to cut the text so that they do not.
 
     Tokens are those of the sentencepiece library without begin or end marks; null
-    and empty texts have none.  ``over_limit`` is read off the table of prefix
-    totals.  With ``keep_prefixes`` two more columns store the count at every prefix, in
-    runs of prefixes with equal counts: ``prefix_end`` (byte end of the last of each run)
-    and ``prefix_tokens``, from which truncation (``tokens_at``) and budget questions
-    (``fits``) are answered exactly.  Filling them takes time with the square of the
-    longest stretch of text without a space.
+    and empty texts have none.  All answers are read off the table of counts at every
+    prefix: ``n_tokens`` is the last one, ``cut_bytes`` the end of the longest prefix of
+    whole characters of at most ``limit`` tokens, and ``cut_tokens`` its tokens.  With
+    ``keep_prefixes`` two more columns store the table, in runs of prefixes with equal
+    counts: ``prefix_end`` (byte end of the last of each run) and ``prefix_tokens``, from
+    which truncation (``tokens_at``) and budget questions (``fits``) are answered exactly.
     Repeated rows each have their own row; columns besides id and text are left out,
     so their names cannot clash.  Memory is bounded by the longest text; no shuffle.
     """
     spark = prepare(docs.sparkSession)
     model = spark.sparkContext.broadcast(Path(model_path).read_bytes())
-    schema = f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_end array<long>, prefix_tokens array<long>" * keep_prefixes
+    schema = f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long, cut_tokens long" + ", prefix_end array<long>, prefix_tokens array<long>" * keep_prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model.value)
         for batch in batches:
-            for part, data, off in pieces(batch, text_col):
-                stop, total, row = count.prefix_totals(data, off)
+            for part, data, off in pieces(batch, text_col, 1 << 20):
+                tokens, ends, bounds = count.prefix_table(data, off)
                 n = part.num_rows
-                bounds = np.searchsorted(row, np.arange(n + 1))
                 last = np.zeros(n, np.int64)
                 some = bounds[1:] > bounds[:-1]
-                last[some] = total[bounds[1:][some] - 1]
-                over = np.zeros(n, bool)
-                over[row[total > limit]] = True
-                out = [part.column(id_col).cast(pa.int64()), pa.array(np.diff(off)), pa.array(last), pa.array(over)]
-                names = [id_col, "n_bytes", "n_tokens", "over_limit"]
+                last[some] = tokens[bounds[1:][some] - 1]
+                cut_bytes, cut_tokens = np.diff(off), last.copy()
+                for r in np.flatnonzero(last > limit).tolist():
+                    within = np.flatnonzero(tokens[bounds[r] : bounds[r + 1]] <= limit)
+                    k = bounds[r] + within[-1] if len(within) else -1
+                    cut_bytes[r], cut_tokens[r] = (ends[k], tokens[k]) if k >= 0 else (0, 0)
+                out = [part.column(id_col).cast(pa.int64()), pa.array(np.diff(off)), pa.array(last), pa.array(last > limit), pa.array(cut_bytes), pa.array(cut_tokens)]
+                names = [id_col, "n_bytes", "n_tokens", "over_limit", "cut_bytes", "cut_tokens"]
                 if keep_prefixes:
-                    texts = [t or "" for t in part.column(text_col).to_pylist()]
-                    runs = [PrefixTable(t, model.value).runs(t) for t in texts]
-                    out += [pa.array([r[k] for r in runs], pa.list_(pa.int64())) for k in (0, 1)]
+                    final = np.append(tokens[1:] != tokens[:-1], True) if len(tokens) else np.zeros(0, bool)
+                    final[bounds[1:][some] - 1] = True
+                    at = np.flatnonzero(final)
+                    lists = pa.array(np.searchsorted(at, bounds).astype(np.int32))
+                    out += [pa.ListArray.from_arrays(lists, pa.array(x[at])) for x in (ends, tokens)]
                     names += ["prefix_end", "prefix_tokens"]
                 yield pa.RecordBatch.from_arrays(out, names)
 

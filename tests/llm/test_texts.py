@@ -75,6 +75,22 @@ def test_token_counts(spark):
     assert token_counts.prefix_totals(df.where("false"), PIECES, limit=1).count() == 0
 
 
+def test_prefix_program_on_odd_texts_and_truncation(spark):
+    rng = np.random.default_rng(30)
+    counter = token_counts.counter(Path(PIECES).read_bytes())
+    signs = [*"aÀéß日本語한국어▁x\t\nz👍🏽ﬁ½　'’012", " ", "  ", "<s>", "\0", "xyz", "qu"]
+    texts = ["".join(rng.choice(signs, rng.integers(1, 14))) for _ in range(250)]
+    whole = [[len(x) for x in counter.library.encode([t[:p] for p in range(1, len(t) + 1)])] for t in texts]
+    assert [token_counts.PrefixTable(t, Path(PIECES).read_bytes()).count[1:] for t in texts] == whole
+    long = "".join(rng.choice(list("abcdefgh"), 30_000))  # one stretch without a space
+    out = {r["doc_id"]: r for r in token_counts.prefix_totals(frame(spark, [*texts, long], cut_bytes="x"), PIECES, limit=4).collect()}
+    for i, (t, want) in enumerate(zip(texts, whole)):
+        fit = max([0, *(p + 1 for p, c in enumerate(want) if c <= 4)])
+        assert (out[i]["n_tokens"], out[i]["cut_bytes"], out[i]["cut_tokens"]) == (want[-1], len(t[:fit].encode()), want[fit - 1] if fit else 0)
+    cut = out[len(texts)]["cut_bytes"]
+    assert out[len(texts)]["n_tokens"] == len(counter.library.encode(long)) and len(counter.library.encode(long[:cut])) <= 4 < len(counter.library.encode(long[: cut + 1]))
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(0)
     rows = np.repeat(np.arange(5), [1, 64, 65, 200, 7])
