@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._text import BATCH_ROWS, CHUNK_BYTES
 
+#: Bytes of a row group of intermediate tables, which a task holds while it writes.
+ROW_GROUP = 16 << 20
+
 _shipped: set[str] = set()
 
 
@@ -55,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in a shared folder and read it back."""
     path = f"{folder}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -32,12 +32,12 @@ from ._spark import drop_table, prepare, shared_dir, write_table
 from ._text import mix, pieces, prefix_hash, range_hash, row_of
 from .suffix_array import equal_prefixes
 
-#: The filter of anchors that repeat has 2**24 to 2**29 bits (64 MB are broadcast at most).
-FILTER_LOG = (24, 29)
+#: The filter of anchors that repeat has about 512 bits a row, 2**22 to 2**29 (64 MB are broadcast at most).
+FILTER_LOG = (22, 29)
 #: Rows whose anchors one group of the filter counts, about; slices in which its parts reach the driver.
 FILTER_ROWS, SLICES = 500, 512
 #: Distinct runs of an anchor that one group sorts at most, about; bytes sorted at once.
-GROUP, SORT_BYTES = 2048, 2 << 20
+GROUP, SORT_BYTES = 2048, 1 << 19
 
 
 def runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -126,7 +126,7 @@ class _Repeats:
         """
         length = self.length
         rows = self.docs.count()
-        bits = min(max(int(rows).bit_length() + 12, FILTER_LOG[0]), FILTER_LOG[1])
+        bits = min(max(int(rows).bit_length() + 9, FILTER_LOG[0]), FILTER_LOG[1])
         parts = min(max((rows // FILTER_ROWS).bit_length(), 9), bits - 3)
         self.shift = place = np.uint64(64 - bits)
 
@@ -143,7 +143,7 @@ class _Repeats:
                 return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["part", "once", "more"])
 
             for batch in batches:
-                for _, data, off in pieces(batch, "text", 1 << 20):
+                for _, data, off in pieces(batch, "text", 1 << 19):
                     held.append(runs(data, off, length)[0])
                     size += len(held[-1])
                     if size > 500_000:
@@ -178,7 +178,7 @@ class _Repeats:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = sent.value
             for batch in batches:
-                for part, data, off in pieces(batch, "text", 1 << 20):
+                for part, data, off in pieces(batch, "text", 1 << 19):
                     anchor, start, count, row, lead, running = runs(data, off, length)
                     bit = (anchor >> shift).astype(np.int64)
                     keep = (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
@@ -336,7 +336,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in pieces(batch, "text"):
+            for part, data, off in pieces(batch, "text", 1 << 20):
                 blob = data.tobytes()
                 n, removed, spans, kept = np.diff(off), [], [], []
                 for i, found in enumerate(part.column("ranges").to_pylist()):
