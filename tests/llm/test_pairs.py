@@ -95,6 +95,21 @@ def test_join_edges(spark):
     assert [(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(nulls).collect()] == [(5, 5)]
 
 
+def test_join_of_very_long_texts(spark):
+    rng = random.Random(41)
+    words = [f"w{rng.randrange(20_000)}" for _ in range(60_000)]
+    near = list(words)
+    for k in range(0, 60_000, 200):
+        near[k] = "other"
+    far = list(words)
+    for k in range(0, 60_000, 12):
+        far[k] = "other"
+    texts = [" ".join(x) for x in (words, near, far)] + ["w1 w2 w3", "  "]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    sets = gram_sets(texts, 3)
+    assert [out[i] for i in range(5)] == [(len(s), c) for s, c in zip(sets, brute_components(sets, 90))] and out[1][1] == 0 and out[2][1] == 2
+
+
 def test_sketches_never_differ_by_more_than_the_sets():
     rng = np.random.default_rng(7)
     for n in (10, 700, 3000):

@@ -122,6 +122,60 @@ def test_language(spark):
     assert langid.identify(df.where("false"), model).count() == 0
 
 
+def test_language_of_repeated_rows_and_every_word_by_brute_force(spark):
+    train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([(EN, "en"), (FR, "fr"), (RU, "ru")] * 8)], "doc_id BIGINT, text STRING, lang STRING")
+    model = langid.fit(train)
+    texts = [EN + FR, RU + EN, FR * 2 + "42 " + EN, "the леса forêt", EN]
+    df = frame(spark, texts)
+    out = langid.identify(df.unionByName(df), model).collect()
+    assert len(out) == 10
+    for r in out:
+        data, off = flat(pa.array([texts[r["doc_id"]]]))
+        at, end, row, script, low = langid.words(data, off)
+        e = langid.emissions(model, at, end, script, low)
+        v, back = e[0].astype(float), []
+        for x in e[1:]:
+            jump = v.max() - model.switch > v
+            back.append(np.where(jump, v.argmax(), np.arange(len(v))))
+            v = np.maximum(v, v.max() - model.switch) + x
+        path = [int(v.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        mass = np.bincount(path[::-1], weights=end - at, minlength=len(model.languages))
+        assert (r["lang_pred"], round(r["score"], 9)) == (model.languages[int(mass.argmax())], round(mass.max() / mass.sum(), 9))
+
+
+def test_quality_forward_equals_plain_loops():
+    rng = np.random.default_rng(12)
+    net = quality.train([bytes(rng.integers(97, 110, 60).tolist()) for _ in range(40)], np.arange(40) % 2, epochs=1)
+    texts = [b"", b"x", bytes(range(40, 90)), bytes(rng.integers(0, 256, 900).tolist()), b"ab" * 300]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    for t, got in zip(texts, quality.forward(net, data, off)):
+        positions = max(1, -(-max(len(t) - quality.WIDTH, 0) // quality.STRIDE) + 1)
+        r = []
+        for p in range(positions):
+            codes = [t[i] if i < len(t) else 256 for i in range(p * quality.STRIDE, p * quality.STRIDE + quality.WIDTH)]
+            r.append(np.concatenate([net.embed[c] for c in codes]) @ net.filters + net.bias)
+        chunks, begin = [], 0
+        while True:
+            chunks.append(np.maximum(np.max(r[begin : begin + quality.CHUNK], axis=0), 0))
+            if begin + quality.CHUNK >= positions:
+                break
+            begin += quality.HOP
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0)]) @ net.out + net.out_bias
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_quality_of_repeated_rows_and_empty_tables(spark):
+    docs = frame(spark, [EN, "BAD!! " * 30, None, ""])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (0, 1)], "doc_id BIGINT, quality INT")
+    net = quality.fit(docs.unionByName(docs), labels)
+    out = quality.score(docs.unionByName(docs), net).collect()
+    assert len(out) == 8 and len({(r["doc_id"], r["score"]) for r in out}) == 4
+    assert quality.score(docs.where("false"), net).count() == 0
+    assert {r["score"] for r in quality.score(docs, quality.fit(docs.where("false"), labels)).collect()} == {0.5}
+
+
 def test_quality_held_out_accuracy(spark):
     rng = np.random.default_rng(2)
     good = lambda: " ".join(rng.choice(EN.split(), 40))
@@ -322,6 +376,16 @@ def test_pack(spark):
     assert packing.pack(df.where("false"), WORDS).count() == 0
 
 
+def test_pack_repeated_rows(spark):
+    df = frame(spark, ["alpha beta " * 40, "short"])
+    out = packing.pack(df.unionByName(df), WORDS, capacity=64, keep_ids=False).collect()
+    alone = packing.pack(df, WORDS, capacity=64, keep_ids=False).collect()
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, out)) == sorted([*map(key, alone)] * 2)
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:])) and places[0][1] == 0
+
+
 def test_pieces_cut_batches_by_bytes():
     b = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 50, "c"])], ["t"])
     parts = list(pieces(b, "t", 12))
