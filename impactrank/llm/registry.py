@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import shared_dir, table, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,9 +39,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tool_calls import REPLY_SCHEMA, link, turns_as_calls
+    from .tool_calls import REPLY_SCHEMA, link, parse_messages, turns_as_messages
 
-    calls, results = turns_as_calls(table(spark, sf_dir, "conversations"))
+    parsed, folder = parse_messages(turns_as_messages(table(spark, sf_dir, "conversations"))), shared_dir(spark)
+    calls, results = (write_table(x, folder, name) for x, name in zip(parsed, ("calls", "results")))  # parsed once
     out = link(calls, results, REPLY_SCHEMA)
     return out.select("conv_id", "turn", "call_id", "kind", "stage", F.array_join("errors", "; ").alias("errors"), "line")
 
@@ -133,18 +134,29 @@ WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
 FROM d LEFT JOIN v USING (doc_id)""",
     "op8_tool_calls": """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-     c AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, text, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS dep
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+     c AS (SELECT conv_id, turn, n, text, 'c' || conv_id || '-' || turn AS call_id, CASE WHEN n % 13 = 0 THEN 'search' ELSE 'reply' END AS name,
+                  CASE WHEN conv_id % 4 = 1 OR conv_id % 4 = 2 AND turn = 0 THEN turn + 2 WHEN turn >= 2 THEN turn - 2 END AS dep
            FROM t WHERE role IS DISTINCT FROM 'assistant'),
-     r AS (SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant')
-SELECT c.conv_id, c.turn, c.call_id, 'call' AS kind, CAST(0 AS BIGINT) AS stage,
-       concat_ws('; ', CASE WHEN dep IS NOT NULL AND dep NOT IN (SELECT call_id FROM c) THEN 'depends_on: unknown call' END, CASE WHEN r.turn IS NULL THEN 'result: missing' END) AS errors,
-       '{"arguments":{"chars":' || length(c.text) || ',"prompt":' || CAST(to_json(c.text) AS VARCHAR) || '},"call_id":"' || c.call_id || '","kind":"call","name":"reply"}' AS line
-FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+     k AS (SELECT c.*, d.turn IS NOT NULL AS known FROM c LEFT JOIN c d ON d.conv_id = c.conv_id AND d.turn = c.dep),
+     late AS (SELECT DISTINCT conv_id FROM k WHERE known AND dep >= turn),
+     s AS (SELECT conv_id, turn, CAST(1 AS BIGINT) AS depth FROM k WHERE NOT known
+           UNION ALL SELECT k.conv_id, k.turn, s.depth + 1 FROM s JOIN k ON k.conv_id = s.conv_id AND k.known AND k.dep = s.turn),
+     r AS (SELECT conv_id, turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant'),
+     p AS (SELECT k.*, late.conv_id IS NOT NULL AS late, CASE WHEN late.conv_id IS NULL THEN CAST(0 AS BIGINT) ELSE s.depth END AS stage
+           FROM k LEFT JOIN late USING (conv_id) LEFT JOIN s ON s.conv_id = k.conv_id AND s.turn = k.turn)
+SELECT p.conv_id, p.turn, p.call_id, 'call' AS kind, p.stage,
+       concat_ws('; ', CASE WHEN name = 'search' THEN 'unknown tool' END, CASE WHEN name = 'reply' AND n % 7 = 0 THEN 'chars: not integer' END,
+                 CASE WHEN name = 'reply' AND n % 5 = 0 THEN 'prompt: missing' END, CASE WHEN name = 'reply' AND n % 11 = 0 THEN 'extra: unexpected' END,
+                 CASE WHEN dep IS NOT NULL AND NOT known THEN 'depends_on: unknown call' END, CASE WHEN p.stage IS NULL THEN 'depends_on: cycle' END,
+                 CASE WHEN r.turn IS NULL THEN 'result: missing' END) AS errors,
+       '{"arguments":{"chars":' || CASE WHEN n % 7 = 0 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END || CASE WHEN n % 11 = 0 THEN ',"extra":true' ELSE '' END
+       || CASE WHEN n % 5 = 0 THEN '' ELSE ',"prompt":' || CAST(to_json(p.text) AS VARCHAR) END || '},"call_id":"' || p.call_id || '","kind":"call","name":"' || name || '"}' AS line
+FROM p LEFT JOIN r ON r.conv_id = p.conv_id AND r.call_id = p.call_id
 UNION ALL
-SELECT r.conv_id, r.turn, r.call_id, CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'result' END, CASE WHEN c.turn IS NULL THEN NULL ELSE CAST(0 AS BIGINT) END, '',
-       '{"call_id":"' || r.call_id || '","content":' || CAST(to_json(r.text) AS VARCHAR) || ',"kind":"' || CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'result' END || '"}'
-FROM r LEFT JOIN c ON r.conv_id = c.conv_id AND r.call_id = c.call_id""",
+SELECT r.conv_id, r.turn, r.call_id, CASE WHEN p.turn IS NULL THEN 'orphan' ELSE 'result' END, p.stage, '',
+       '{"call_id":"' || r.call_id || '","content":' || CAST(to_json(r.text) AS VARCHAR) || ',"kind":"' || CASE WHEN p.turn IS NULL THEN 'orphan' ELSE 'result' END || '"}'
+FROM r LEFT JOIN p ON r.conv_id = p.conv_id AND r.call_id = p.call_id""",
     "op10_exact_top_k": """
 WITH c AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
            FROM embeddings WHERE embedding IS NOT NULL),

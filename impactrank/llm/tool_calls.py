@@ -184,3 +184,37 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     name = lambda back: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
     calls = t.where("role IS DISTINCT FROM 'assistant'").select("conv_id", "turn", name(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), F.length("text").alias("chars"))).alias("arguments"), F.when(F.col("turn") >= 2, F.array(name(2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
     return calls, t.where("role = 'assistant'").select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
+
+
+def turns_as_messages(conversations: DataFrame) -> DataFrame:
+    """Plain dialogue as tool-call messages (conv_id, turn, role, text), for parse_messages().
+
+    A user or system turn is a message with one call of ``reply`` on its text, the
+    assistant turn after it the tool's message with the result.  What can be wrong with real
+    calls is there by rule, from the number n of characters: another tool (n % 13 = 0),
+    a number as a string (n % 7 = 0), a parameter left out (n % 5 = 0) or too many
+    (n % 11 = 0).  A call depends on the one two turns before; in conversations with
+    conv_id % 4 = 1 on the one two turns later, and with conv_id % 4 = 2 the first one
+    on the second as well, which makes a cycle.
+    """
+    t = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text"))
+    quoted = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("x"))), r'^\{"x":|\}$', "")
+    name = lambda shift: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") + shift).cast("string"))
+    many = lambda divisor: F.col("n") % divisor == 0
+    count = F.col("n").cast("string")
+    parameters = F.concat_ws(
+        ",",
+        F.when(~many(5), F.concat(F.lit('"prompt":'), quoted)),
+        F.concat(F.lit('"chars":'), F.when(many(7), F.concat(F.lit('"'), count, F.lit('"'))).otherwise(count)),
+        F.when(many(11), F.lit('"extra":true')),
+    )
+    kind = F.pmod("conv_id", F.lit(4))
+    later = (kind == 1) | ((kind == 2) & (F.col("turn") == 0))
+    on = F.when(later, name(2)).when(F.col("turn") >= 2, name(-2))
+    call = F.concat(
+        F.lit('{"tool_calls":[{"id":"'), name(0), F.lit('","name":"'), F.when(many(13), F.lit("search")).otherwise(F.lit("reply")),
+        F.lit('","arguments":{'), parameters, F.lit('},"depends_on":['), F.coalesce(F.concat(F.lit('"'), on, F.lit('"')), F.lit("")), F.lit("]}]}"),
+    )
+    result = F.concat(F.lit('{"tool_call_id":"'), name(-1), F.lit('","content":'), quoted, F.lit("}"))
+    answers = F.col("role").eqNullSafe("assistant")
+    return t.select("conv_id", "turn", F.when(answers, F.lit("tool")).otherwise(F.lit("assistant")).alias("role"), F.when(answers, result).otherwise(call).alias("text"))
