@@ -34,11 +34,10 @@ def held(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def held_index(spark: SparkSession, sf_dir: str, docs: VectorPrune = VectorPrune(), lists: VectorPrune = VectorPrune()) -> index.Index:
     """An index whose postings are built once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"{docs}{lists}")
-    built = index.build(held(spark, sf_dir, "docs_a"), docs, lists)
+    key, vectors_held = (spark.sparkContext.applicationId, sf_dir, f"{docs}{lists}"), held(spark, sf_dir, "docs_a")
     if key not in _held:
-        _held[key] = built.postings.persist()
-    return index.Index(_held[key], built.forward)
+        _held[key] = index.build(vectors_held, docs, lists).postings.persist()
+    return index.Index(_held[key], vectors_held)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
