@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def positive(raw: Column, largest: float = 3.0, levels: int = 127) -> Column:
-    """Clamp to [0, largest] and map to 0..levels, halves away from zero."""
+    """Clamp to [0, largest] and map to 0..levels, halves away from zero.
+
+    Spark divides floats in double precision, so the quotient is rounded to a float before it is multiplied.
+    """
     top = F.lit(largest).cast("float")
     clamped = F.least(F.greatest(raw.cast("float"), F.lit(0.0).cast("float")), top)
-    return F.floor((clamped / top * F.lit(float(levels)).cast("float")).cast("float").cast("double") + F.lit(0.5)).cast("int")
+    return F.floor(((clamped / top).cast("float") * F.lit(float(levels)).cast("float")).cast("double") + F.lit(0.5)).cast("int")
 
 
 def signed(raw: Column, largest: float = 3.0) -> Column:
