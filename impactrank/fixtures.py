@@ -10,8 +10,13 @@ from .operators.sizes import bounded_broadcast
 
 
 def text_impacts(df: DataFrame, id_col: str, text_col: str = "text", out_id: str = "doc_id") -> DataFrame:
-    """(id, term, weight): quantized saturating term frequencies of lower-case words."""
-    words = df.select(F.col(id_col).alias(out_id), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    """(id, term, weight): quantized saturating term frequencies of lower-case words.
+
+    Texts are dealt by id before they are split: a text is smaller than its words with
+    their counts, and whatever is grouped by document then needs no further exchange.
+    """
+    texts = df.select(F.col(id_col).alias(out_id), F.col(text_col).alias("_text")).repartition(out_id)
+    words = texts.select(out_id, F.explode(F.regexp_extract_all(F.lower("_text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
     tf = words.groupBy(out_id, "term").agg(F.count("*").alias("tf"))
     return tf.select(out_id, "term", positive(F.lit(3.0) * F.col("tf") / (F.col("tf") + F.lit(1.5))).alias("weight"))
 

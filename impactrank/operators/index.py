@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .prune import VectorPrune, prune_docs, prune_lists
+from .sizes import bounded_broadcast
 
 WINDOW = 100_000
 
@@ -34,9 +35,17 @@ def windowed(postings: DataFrame, window: int = WINDOW, layout: bool = False) ->
     return out.repartition("window_id").sortWithinPartitions("term", "doc_id") if layout else out
 
 
-def build(docs: DataFrame, doc_prune: VectorPrune = VectorPrune(), list_prune: VectorPrune = VectorPrune(), window: int = WINDOW, layout: bool = False, drop_zero: bool = False) -> Index:
-    """Prune documents, invert, prune lists, lay out.  Re-ranking uses the vectors as given."""
-    postings = prune_lists(prune_docs(docs, doc_prune), list_prune)
+def lists_of(postings: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """The postings of the given terms; rows stay where they are if the terms are few."""
+    return postings if terms is None else postings.join(bounded_broadcast(terms.select("term").distinct()), "term", "left_semi")
+
+
+def build(docs: DataFrame, doc_prune: VectorPrune = VectorPrune(), list_prune: VectorPrune = VectorPrune(), window: int = WINDOW, layout: bool = False, drop_zero: bool = False, terms: DataFrame | None = None) -> Index:
+    """Prune documents, invert, prune lists, lay out.  Re-ranking uses the vectors as given.
+
+    ``terms`` builds the lists of these terms only, equal to those of the whole index.
+    """
+    postings = lists_of(prune_lists(lists_of(prune_docs(docs, doc_prune), None if list_prune.longest > 0 else terms), list_prune), terms)
     if drop_zero:
         postings = postings.where("weight <> 0")
     return Index(windowed(postings, window, layout), docs, window)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..functions.quantize import wrap_int8
-from .sizes import BROADCAST_ROWS, bounded_broadcast
+from .sizes import BROADCAST_ROWS, bounded_broadcast, is_small
 
 
 def _f(x: float | Column) -> Column:
@@ -87,23 +87,26 @@ def take_levels(postings: DataFrame, level: DataFrame, term: str = "term", doc:
 
     The levels go to the postings where their number allows (``small``; counted if not
     given).  A level kept in part is counted by spans of RANK_SPAN document ids; only
-    the span that holds the cut is ranked, so no task gets a level whole.  Ids that are
-    no integers are ranked by level.
+    the span that holds the cut is ranked, so no task gets a level whole.  The document
+    at the cut joins the levels, and postings are joined with these once, where they
+    are.  Ids that are no integers are ranked by level.  A list holds a document once.
     """
     kept = level.where("_q > 0").select(term, "_w", "_n", "_q")
-    kept = bounded_broadcast(kept, BROADCAST_ROWS) if small is None else F.broadcast(kept) if small else kept
-    held = postings.withColumn("_w", F.abs("weight")).join(kept, [term, "_w"])
-    whole, part = held.where("_q >= _n").select(postings.columns), held.where("_q < _n")
+    small = is_small(kept, BROADCAST_ROWS) if small is None else small
+    sent = F.broadcast if small else lambda df: df
+    weighed = postings.withColumn("_w", F.abs("weight"))
+    part = weighed.join(sent(kept.where("_q < _n")), [term, "_w"])
     integer = isinstance(postings.schema[doc].dataType, IntegralType)
     part = part.withColumn("_span", F.expr(f"`{doc}` div {RANK_SPAN}") if integer else F.lit(0).cast("long"))
     spans = part.groupBy(term, "_w", "_q", "_span").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(term, "_w").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.withColumn("_left", F.col("_q") - before).where("_left > 0").select(term, "_w", "_span", "_c", "_left")
-    part = part.join(spans, [term, "_w", "_span"])
-    # A span kept whole needs no rank: its rows are groups of one.
-    alone = F.when(F.col("_left") >= F.col("_c"), F.col(doc))
-    rank = F.row_number().over(Window.partitionBy(term, "_w", "_span", alone).orderBy(doc))
-    return whole.unionByName(part.withColumn("_r", rank).where("_r <= _left").select(postings.columns))
+    spans = spans.withColumn("_left", F.col("_q") - before).where("_left > 0 AND _left <= _c").select(term, "_w", "_span", "_left")
+    rank = F.row_number().over(Window.partitionBy(term, "_w").orderBy(doc))
+    inside = part.select(term, "_w", "_span", doc).join(sent(spans), [term, "_w", "_span"])
+    cut = inside.withColumn("_r", rank).where("_r = _left").select(term, "_w", F.col(doc).alias("_cut"))
+    kept = kept.select(term, "_w").join(cut, [term, "_w"], "left")
+    held = weighed.join(sent(kept), [term, "_w"])
+    return held.where(F.col("_cut").isNull() | (F.col(doc) <= F.col("_cut"))).select(postings.columns)
 
 
 def list_mass_exclusive(postings: DataFrame, alpha: float, term: str = "term", doc: str = "doc_id") -> DataFrame:
@@ -179,11 +182,13 @@ def fixed_top(df: DataFrame, by: str, tie: str, n: int, signed: bool = False) ->
 
 
 def longest_lists(lengths: DataFrame, fraction: float, term: str = "term", all_terms: int | None = None) -> DataFrame:
-    """Of (term, _len), the terms with the longest lists, ``fraction`` of all (rounded down), ties by term.
+    """Of (term, _len), or of postings, the terms with the longest lists, ``fraction`` of all (rounded down), ties by term.
 
     ``all_terms`` counts terms whose list is already empty too.  The cut is found on
     the distribution of lengths; terms are ranked only at the length of the cut.
     """
+    if "_len" not in lengths.columns:
+        lengths = lengths.groupBy(term).agg(F.count("*").alias("_len"))
     spread = lengths.groupBy("_len").agg(F.count("*").alias("_n"))  # few rows: one per length
     total = F.lit(all_terms) if all_terms is not None else F.sum("_n").over(Window.partitionBy(F.lit(0)))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("_len").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
