@@ -5,6 +5,7 @@ import re
 from impactrank import fixtures as fx
 from impactrank.operators import index, search
 from impactrank.operators.prune import VectorPrune
+from impactrank.plans import blockmax
 
 
 def tables(spark):
@@ -30,3 +31,14 @@ def test_lists_of_some_terms(spark):
     rows = lambda ix: sorted(map(tuple, ix.postings.select("term", "doc_id", "weight").collect()))
     terms = {r["term"] for r in queries.collect()}
     assert rows(index.build(docs, *rules, terms=queries)) == [r for r in rows(index.build(docs, *rules)) if r[0] in terms] != []
+
+
+def test_bounds_and_scores_stay_in_their_blocks(spark):
+    docs, queries = tables(spark)
+    ix = index.build(docs)
+    by_block = blockmax.by_block(ix, queries, 4).persist()
+    by_block.count()
+    out = blockmax.blockmax_search(ix, queries, 3, 4, rows=by_block)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, search.search(ix, queries, search.SearchConfig(3, 3, rerank=False)).collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not any("doc_id" in x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.split("InMemoryRelation")[0]))
