@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .index import Index
 from .prune import QueryPrune, fixed_top, prune_queries
+from .scan import best_in_clusters, by_document
 from .sizes import BROADCAST_ROWS, bounded_broadcast, is_small
 from .topk import pad, top_k
 
@@ -89,7 +90,7 @@ def mean_postings_touched(index: Index, queries: DataFrame) -> DataFrame:
     return postings_touched(index, queries).agg(n.alias("queries"), total.cast("long").alias("touched"), F.expr("coalesce(sum(touched), 0) div greatest(count(*), 1)").cast("long").alias("mean"))
 
 
-def cluster_search(vectors: DataFrame, members: DataFrame, summaries: DataFrame, queries: DataFrame, k: int = 10, query_cut: int = 8, heap_factor: float = 1.0, seeds: int = 2) -> DataFrame:
+def cluster_search(vectors: DataFrame, members: DataFrame, summaries: DataFrame, queries: DataFrame, k: int = 10, query_cut: int = 8, heap_factor: float = 1.0, seeds: int = 2, rows: DataFrame | None = None) -> DataFrame:
     """Approximate search that visits only promising clusters of documents.
 
     The ``query_cut`` heaviest terms of a query score every cluster by its summary.
@@ -98,20 +99,15 @@ def cluster_search(vectors: DataFrame, members: DataFrame, summaries: DataFrame,
     with a common term where the seeds hold fewer than k documents).  Documents of
     admitted clusters get exact scores from whole queries.  A larger factor visits more;
     with whole queries, unpruned summaries and a factor of 1 or more the result is exact.
+    ``rows`` are those of scan.by_document(), if they are held.
     """
     q = queries.select("query_id", "term", F.col("weight").alias("qw")).where("qw > 0")
-    q = bounded_broadcast(q, BROADCAST_ROWS)
     cut = fixed_top(queries.where("weight > 0"), "query_id", "term", query_cut, signed=True).select("query_id", "term", F.col("weight").alias("qw"))
     product = F.col("qw").cast("long") * F.col("weight")
     bound = summaries.join(bounded_broadcast(cut, BROADCAST_ROWS), "term").groupBy("query_id", "cluster_id").agg(F.sum(product).alias("bound")).where("bound > 0")
-    rows = vectors.join(members.select("cluster_id", "doc_id"), "doc_id")
-
-    def scored(admitted: DataFrame) -> DataFrame:
-        hit = rows.join(q, "term").join(admitted, ["query_id", "cluster_id"], "left_semi")
-        return hit.groupBy("query_id", "doc_id").agg(F.sum(product).alias("score")).where("score > 0")
-
+    rows = by_document(vectors, members) if rows is None else rows
     first = top_k(bound, seeds, score="bound", key="cluster_id").select("query_id", "cluster_id")
-    floor = top_k(scored(first), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    floor = top_k(best_in_clusters(rows, q, first, k), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     reached = F.coalesce(F.col("bound") * F.lit(float(heap_factor)) >= F.col("floor"), F.lit(True))
     seen = bound.join(floor, "query_id", "left").where(reached).select("query_id", "cluster_id").unionByName(first)
-    return top_k(scored(seen), k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    return top_k(best_in_clusters(rows, q, seen, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

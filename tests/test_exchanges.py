@@ -1,9 +1,12 @@
 """What searches move: texts and blocks once, never postings by query and document."""
 
+import random
 import re
 
+import pytest
+
 from impactrank import fixtures as fx
-from impactrank.operators import index, search
+from impactrank.operators import cluster, index, scan, search
 from impactrank.operators.prune import VectorPrune
 from impactrank.plans import blockmax
 
@@ -42,3 +45,32 @@ def test_bounds_and_scores_stay_in_their_blocks(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, search.search(ix, queries, search.SearchConfig(3, 3, rerank=False)).collect()))
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert not any("doc_id" in x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.split("InMemoryRelation")[0]))
+
+
+def clustered(spark, weight, word):
+    """Documents with many ties, some in two clusters or none, and the brute-force best of all that share a term."""
+    rng = random.Random(5)
+    docs = {d: {word(t): weight * rng.randint(0, 2) for t in rng.sample(range(12), 4)} for d in rng.sample(range(10_000), 300)}
+    members = [(c, d) for d in docs for c in rng.choice(((1,), (2,), (3,), (1, 3), (2, 2), ()))]
+    queries = {q: {word(t): weight * rng.randint(1, 3) for t in rng.sample(range(12), 3)} for q in range(9)}
+    kind = type(word(0)).__name__.replace("str", "string")
+    make = lambda x, c: spark.createDataFrame([(i, t, w) for i, v in x.items() for t, w in v.items()], f"{c} BIGINT, term {kind}, weight INT")
+    want = set()
+    for q, qv in queries.items():
+        score = {d: sum(w * dv.get(t, 0) for t, w in qv.items()) * sum(e == d for _, e in members) for d, dv in docs.items()}
+        want |= {(q, n, d, x) for n, (x, d) in enumerate(sorted(((x, d) for d, x in score.items() if x > 0), key=lambda p: (-p[0], p[1]))[:7], 1)}
+    return make(docs, "doc_id"), spark.createDataFrame(members, "cluster_id INT, doc_id BIGINT"), make(queries, "query_id"), want
+
+
+@pytest.mark.parametrize(("weight", "word"), [(1, int), (3000, str), (500_000_000, str)])
+def test_clusters_are_scanned_where_they_are(spark, monkeypatch, weight, word):
+    vectors, members, queries, want = clustered(spark, weight, word)
+    monkeypatch.setattr(scan, "BLOCK_ITEMS", 20)  # several blocks, and matrices of a few rows
+    monkeypatch.setattr(scan, "CHUNK_CELLS", 90)
+    # Whole summaries and queries and a large factor admit every cluster with a common term.
+    out = search.cluster_search(vectors, members, cluster.summary(vectors, members), queries, 7, 12, 1e9)
+    assert set(map(tuple, out.collect())) == want
+    rows = scan.by_document(vectors, members)
+    asked = queries.withColumnRenamed("weight", "qw")
+    found = scan.best_in_clusters(rows, asked, queries.select("query_id").distinct().crossJoin(members.select("cluster_id").distinct()), 7)
+    assert set(dealt(found)) == {"doc_id"}  # documents and members, never pairs with a query
