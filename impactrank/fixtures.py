@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.quantize import positive
+from .operators.index import lists_of
 from .operators.sizes import bounded_broadcast
 
 
-def text_impacts(df: DataFrame, id_col: str, text_col: str = "text", out_id: str = "doc_id") -> DataFrame:
+def text_impacts(df: DataFrame, id_col: str, text_col: str = "text", out_id: str = "doc_id", terms: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """(id, term, weight): quantized saturating term frequencies of lower-case words.
 
     Texts are dealt by id before they are split: a text is smaller than its words with
     their counts, and whatever is grouped by document then needs no further exchange.
+    ``terms`` leaves out other words before they are counted, which changes no weight.
+    ``block`` deals texts by blocks of so many ids, and adds ``block_id``.
     """
-    texts = df.select(F.col(id_col).alias(out_id), F.col(text_col).alias("_text")).repartition(out_id)
-    words = texts.select(out_id, F.explode(F.regexp_extract_all(F.lower("_text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
-    tf = words.groupBy(out_id, "term").agg(F.count("*").alias("tf"))
-    return tf.select(out_id, "term", positive(F.lit(3.0) * F.col("tf") / (F.col("tf") + F.lit(1.5))).alias("weight"))
+    texts, dealt = df.select(F.col(id_col).alias(out_id), F.col(text_col).alias("_text")), [out_id]
+    if block is not None:
+        texts, dealt = texts.withColumn("block_id", F.expr(f"{out_id} div {block}")), ["block_id"]
+    ids = list(dict.fromkeys([*dealt, out_id]))
+    words = texts.repartition(*dealt).select(*ids, F.explode(F.regexp_extract_all(F.lower("_text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    tf = lists_of(words, terms).groupBy(*ids, "term").agg(F.count("*").alias("tf"))
+    return tf.select(out_id, "term", positive(F.lit(3.0) * F.col("tf") / (F.col("tf") + F.lit(1.5))).alias("weight"), *ids[:-1])
 
 
 def dense_impacts(df: DataFrame, id_col: str = "vec_id", array_col: str = "embedding", out_id: str = "doc_id") -> DataFrame:

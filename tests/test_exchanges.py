@@ -74,3 +74,12 @@ def test_clusters_are_scanned_where_they_are(spark, monkeypatch, weight, word):
     asked = queries.withColumnRenamed("weight", "qw")
     found = scan.best_in_clusters(rows, asked, queries.select("query_id").distinct().crossJoin(members.select("cluster_id").distinct()), 7)
     assert set(dealt(found)) == {"doc_id"}  # documents and members, never pairs with a query
+
+
+def test_blocks_are_made_from_texts_dealt_once(spark):
+    texts = spark.createDataFrame([(d, " ".join(f"w{chr(97 + (d * k) % 7)}" for k in range(1, 9))) for d in range(40)], "doc_id BIGINT, text STRING")
+    docs, queries = tables(spark)
+    rows = fx.text_impacts(texts, "doc_id", terms=queries, block=4)
+    assert dealt(rows) == ["block_id", "term"]  # texts once; the other are the distinct terms, which are broadcast
+    names = ["term", "doc_id", "weight", "block_id"]
+    assert sorted(map(tuple, rows.select(names).collect())) == sorted(map(tuple, blockmax.by_block(index.build(docs), queries, 4).select(names).collect())) != []
