@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.quantize import positive
 from .operators.index import lists_of
-from .operators.sizes import bounded_broadcast
+from .operators.sizes import BROADCAST_ROWS, is_small
 
 
 def text_impacts(df: DataFrame, id_col: str, text_col: str = "text", out_id: str = "doc_id", terms: DataFrame | None = None, block: int | None = None) -> DataFrame:
@@ -40,17 +40,19 @@ GRAM_WORDS = (4, 3, 2, 1)
 def containment_qrels(docs: DataFrame, items: DataFrame, labels: DataFrame) -> DataFrame:
     """(query_id, doc_id, relevance): documents that hold an item's text; relevance 1 + quality.
 
-    Pairs come from a hash join on a gram of the item's inner words (its first and last
-    may be parts of the document's words), up to four; texts are attached to pairs of
-    ids afterwards and checked for containment.  Items of one or two words have no
-    inner word and are looked for in every text.
+    Documents are found by a gram of the item's inner words (its first and last may be
+    parts of the document's words), up to four.  Few items go to the texts: the gram's
+    longest word finds them by a hash join, then gram and text are compared in the same
+    row.  Of many items, grams are joined, and texts are attached to pairs of ids
+    afterwards.  Items of one or two words have no inner word and are looked for in
+    every text.
     """
     words = F.split("text", "[ \n]+")
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
     q = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), words.alias("w")).where("item IS NOT NULL")
     q = q.select("query_id", "item", F.slice(inner, 1, GRAM_WORDS[0]).alias("inner")).withColumn("n", F.size("inner"))
     sizes = [r["n"] for r in q.select("n").distinct().collect()]  # five values at most
-    d = docs.select("doc_id", words.alias("w")).where("w IS NOT NULL")
+    d = docs.select("doc_id", F.col("text").alias("body"), words.alias("w")).where("w IS NOT NULL")
 
     def grams(n: int) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", F.slice("w", i, n)))
@@ -58,11 +60,17 @@ def containment_qrels(docs: DataFrame, items: DataFrame, labels: DataFrame) -> D
 
     long = [grams(n) for n in GRAM_WORDS if n in sizes]
     body = docs.select("doc_id", F.col("text").alias("body"))
+    asked = q.where("n > 0")
     hit = None
-    if long:
+    if long and is_small(asked, BROADCAST_ROWS):
+        longest = F.array_max(F.transform("inner", lambda x, i: F.struct(F.length(x).alias("size"), x.alias("word"), i.alias("at"))))
+        asked = asked.withColumn("x", longest).select("query_id", "item", "inner", "n", F.col("x.word").alias("word"), F.col("x.at").alias("at"))
+        there = F.slice("w", F.greatest(F.col("pos") - F.col("at") + 1, F.lit(1)), F.col("n")) == F.col("inner")
+        pairs = d.select("doc_id", "body", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(asked), "word")
+        hit = pairs.where(there & F.contains("body", "item")).select("query_id", "doc_id")
+    elif long:
         have = d.select("doc_id", F.explode(F.array_distinct(F.concat(*long))).alias("gram"))
-        asked = q.where("n > 0").select("query_id", F.concat_ws(" ", "inner").alias("gram"))
-        pairs = have.join(bounded_broadcast(asked), "gram").select("query_id", "doc_id").distinct()
+        pairs = have.join(asked.select("query_id", F.concat_ws(" ", "inner").alias("gram")), "gram").select("query_id", "doc_id").distinct()
         hit = pairs.join(q.select("query_id", "item"), "query_id").join(body, "doc_id").where(F.contains("body", "item")).select("query_id", "doc_id")
     if 0 in sizes:
         short = q.where("n = 0").groupBy().agg(F.collect_list(F.struct("query_id", "item")).alias("items"))  # items of two words at most

@@ -83,3 +83,15 @@ def test_blocks_are_made_from_texts_dealt_once(spark):
     assert dealt(rows) == ["block_id", "term"]  # texts once; the other are the distinct terms, which are broadcast
     names = ["term", "doc_id", "weight", "block_id"]
     assert sorted(map(tuple, rows.select(names).collect())) == sorted(map(tuple, blockmax.by_block(index.build(docs), queries, 4).select(names).collect())) != []
+
+
+def test_texts_stay_where_items_are_looked_for(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "see the red old house now"), (1, "red old\nhouse the red old house nowhere"), (2, "old red house"), (3, None)], "doc_id BIGINT, text STRING")
+    items = spark.createDataFrame([(0, "he red old house no"), (1, "the red old"), (2, "d old\nhouse t"), (3, "red house"), (4, "old")], "item_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(0, 1)], "doc_id BIGINT, quality INT")
+    want = [(0, 0, 2), (0, 1, 1), (1, 0, 2), (1, 1, 1), (2, 1, 1), (3, 2, 1), (4, 0, 2), (4, 1, 1), (4, 2, 1)]
+    few = fx.containment_qrels(docs, items, labels)
+    assert re.search(r"BroadcastHashJoin \[word#\d+\].*Contains\(body#\d+, item#\d+\)", few._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, few.collect())) == want
+    monkeypatch.setattr(fx, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, fx.containment_qrels(docs, items, labels).collect())) == want
