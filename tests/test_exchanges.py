@@ -95,3 +95,10 @@ def test_texts_stay_where_items_are_looked_for(spark, monkeypatch):
     assert sorted(map(tuple, few.collect())) == want
     monkeypatch.setattr(fx, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, fx.containment_qrels(docs, items, labels).collect())) == want
+
+
+def test_recall_moves_texts_only(spark):
+    docs, queries = tables(spark)
+    pruned = index.build(docs, VectorPrune(alpha=0.9), VectorPrune(alpha=0.9), terms=queries)
+    first = [dealt(search.accumulate(ix.postings, queries)) for ix in (pruned, index.build(docs))]
+    assert not any("query_id" in x or "window_id" in x for plan in first for x in plan)  # what recall compares, before its ranking
