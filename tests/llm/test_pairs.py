@@ -266,3 +266,25 @@ def test_few_exact_vectors_are_read(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "exact_scores", counted)
     topk_search.top_k(df, df.where("vec_id < 3"), 5).collect()
     assert read.value < 600
+
+
+def test_near_copies_meet_a_pivot_not_each_other(spark, monkeypatch):
+    """The pairs whose sets are compared grow with the rows of a group, not with their square, and the group stays one."""
+    rng = np.random.default_rng(11)
+    base, size = [f"w{x}" for x in rng.integers(0, 10**6, 400)], 20
+    texts = []
+    for i in range(size):
+        words = list(base)
+        words[20 * i] = f"edit{i}"
+        texts.append(" ".join(words))
+    compared, confirmed = [], jaccard_join._Join.confirmed
+
+    def counted(self, pairs, step):
+        compared.append(pairs.count())
+        return confirmed(self, pairs, step)
+
+    monkeypatch.setattr(jaccard_join._Join, "confirmed", counted)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    out = jaccard_join.jaccard_components(docs).collect()
+    assert {r["component_id"] for r in out} == {0} and len(out) == size
+    assert 0 < sum(compared) <= 4 * size < size * (size - 1) // 2
