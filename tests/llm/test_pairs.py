@@ -288,3 +288,32 @@ def test_near_copies_meet_a_pivot_not_each_other(spark, monkeypatch):
     out = jaccard_join.jaccard_components(docs).collect()
     assert {r["component_id"] for r in out} == {0} and len(out) == size
     assert 0 < sum(compared) <= 4 * size < size * (size - 1) // 2
+
+
+def test_connected_lists_make_no_further_rounds(spark, monkeypatch):
+    """A long list goes on only as far as links leave more than ALIKE rows outside its largest component; these meet all its rows."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 3)
+    monkeypatch.setattr(jaccard_join, "ALIKE", 8)
+    rng, texts = random.Random(23), []
+    base = [f"w{x}" for x in range(300)]
+    for i in range(40):  # all near one another
+        words = list(base)
+        for at in rng.sample(range(300), 1 + i % 3):
+            words[at] = f"edit{i}_{at}"
+        texts.append(" ".join(words))
+    for i in range(5):  # rows that share much with all and link with none
+        words = list(base)
+        for at in range(i, 300, 15):
+            words[at] = f"far{i}_{at}"
+        texts.append(" ".join(words))
+    names, write = [], jaccard_join.write_table
+
+    def written(df, folder, name):
+        names.append(name)
+        return write(df, folder, name)
+
+    monkeypatch.setattr(jaccard_join, "write_table", written)
+    sets = gram_sets(texts, 5)
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame(spark, texts), 5, 80).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_components(sets, 80) and len(set(out.values())) == 6
+    assert "star_0" in names and not any(x.startswith(("met_", "long_1")) for x in names)
